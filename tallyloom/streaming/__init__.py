@@ -1,0 +1 @@
+"""Kept empty on purpose: the engine covers batch ledgers only, there is no streaming operator to provide."""
