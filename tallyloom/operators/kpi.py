@@ -82,7 +82,7 @@ def latest_snapshot(enriched: DataFrame) -> DataFrame:
     """
     ties = [F.col(c).desc_nulls_last() for c in ("closing_stock", *NUMERIC_COLUMNS, "product_name", "category")]
     order = Window.partitionBy("store_id", "product_id").orderBy(F.col("date").desc_nulls_first(), *ties)
-    return enriched.withColumn("recency", F.row_number().over(order)).filter("recency = 1").drop("recency")
+    return enriched.withColumn("__recency", F.row_number().over(order)).filter("__recency = 1").drop("__recency")
 
 
 @dataclass(frozen=True)
@@ -130,22 +130,29 @@ def _rates() -> dict[str, Column]:
 def product_performance(rollups: Rollups) -> DataFrame:
     """One row per product variant: totals, rates, stock cover, risk classes and a health score.
 
-    A day is one row of the rollup, so the number of active days is a plain count. Both join sides are grouped by the
-    join keys already, so the join adds no shuffle.
+    A day is one row of the rollup, so the number of active days is a plain count. The latest stock joins its product
+    by being stacked under the day rows and summed in the same grouping: every latest row belongs to a variant that
+    has day rows, so this is the left join on the three keys, without a join. The grouping drops variants with a
+    missing key by counts rather than by a filter on the keys: a filter would be pushed into one of the two stacked
+    branches only, and Spark could no longer run their common part once.
     """
+    stacked = rollups.daily.unionByName(
+        rollups.latest.select(*PRODUCT_KEYS, F.col("closing_stock").alias("latest_closing")), allowMissingColumns=True
+    )
     totals = (
-        with_keys(rollups.daily, *PRODUCT_KEYS)
-        .groupBy(*PRODUCT_KEYS)
+        stacked.groupBy(*PRODUCT_KEYS)
         .agg(
             *money_resums(MONEY_COLUMNS),
             *_unit_totals(),
             F.sum("average_inventory").alias("inventory_sum"),
             F.sum("row_count").alias("row_count"),
             F.count("date").alias("active_days"),
+            F.sum("latest_closing").alias("current_stock"),
+            *[F.count(c).alias(f"{c}_count") for c in PRODUCT_KEYS],
         )
+        .filter(" and ".join(f"{c}_count > 0" for c in PRODUCT_KEYS))
     )
-    stocked = totals.join(latest_stock(rollups), list(PRODUCT_KEYS), "left")
-    measured = stocked.withColumns(
+    measured = totals.withColumns(
         {
             "total_revenue": money_total("revenue"),
             "total_waste_value": money_total("waste_value"),

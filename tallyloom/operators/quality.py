@@ -123,13 +123,14 @@ def duplicate_rows(raw: DataFrame) -> DataFrame:
     once are then compared column by column, so the count is exact whatever the hash does. The repeated hashes are
     broadcast only when their counted number is small, so in a ledger with few copies full rows are never shuffled.
     """
-    hashed = raw.withColumn("row_hash", F.xxhash64(*raw.columns))
+    rows = raw.select(F.struct("*").alias("row"))
+    hashed = rows.withColumn("row_hash", F.xxhash64("row"))
     repeated = hashed.groupBy("row_hash").count().filter("count > 1").select("row_hash")
     repeated = settle(repeated, "repeated-rows")
     if fits_broadcast(repeated):
         repeated = F.broadcast(repeated)
     suspects = hashed.join(repeated, "row_hash", "left_semi")
-    copies = suspects.groupBy("row_hash", *raw.columns).agg((F.count("*") - 1).alias("extra"))
+    copies = suspects.groupBy("row_hash", "row").agg((F.count("*") - 1).alias("extra"))
     return copies.agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("duplicate_rows"))
 
 

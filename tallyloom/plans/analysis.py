@@ -19,7 +19,7 @@ INVALID_ANSWER = "I cannot answer questions until the uploaded data passes valid
 class Analysis:
     """All results of one ledger, as lazy frames in report order over two settled rollups."""
 
-    report: DataFrame
+    report: DataFrame | None
     enriched: DataFrame
     rollups: kpi.Rollups
     summary: DataFrame
@@ -72,10 +72,16 @@ class Rejected:
         return {"validation": body}
 
 
-def kpis(ledger: DataFrame, report: DataFrame, rollups: kpi.Rollups, enriched: DataFrame) -> Analysis:
-    performance = kpi.product_performance(rollups)
+def build(enriched: DataFrame, report: DataFrame | None = None) -> Analysis:
+    """Every result of an enriched ledger.
+
+    The ledger is read twice, once per rollup. Product performance and forecasts, which most other results start
+    from, are settled as well, so nothing is computed more than once however many results are written.
+    """
+    rollups = kpi.settled(kpi.roll_up(enriched))
+    performance = settle(kpi.product_performance(rollups), "performance")
     demand = forecast.daily_demand(rollups.daily)
-    outlook = forecast.product_forecast(demand, performance)
+    outlook = settle(forecast.product_forecast(demand, performance), "forecast")
     advice = recommend.recommendations(performance)
     return Analysis(
         report=report,
@@ -100,14 +106,11 @@ def checked(ledger: DataFrame) -> tuple[quality.Validation, bool]:
 
 
 def analyze(ledger: DataFrame) -> Analysis | Rejected:
-    """Validate, then build every result. The ledger itself is read for the checks and for the two rollups; each
-    result after that reads the rollups."""
+    """Validate, then build every result."""
     validation, valid = checked(ledger)
     if not valid:
         return Rejected(validation.report)
-    enriched = kpi.enrich(validation.cleaned)
-    rollups = kpi.settled(kpi.roll_up(enriched))
-    return kpis(ledger, validation.report, rollups, enriched)
+    return build(kpi.enrich(validation.cleaned), validation.report)
 
 
 def ask(asked: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from tallyloom.operators import evaluation, forecast, kpi, quality, questions, r
 from tallyloom.plans import analysis
 from tallyloom.sources import files, ledger
 from tallyloom.sources.schema import coerce_types
+from tallyloom.sources.tables import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,39 +28,27 @@ def _lines(column: str) -> Column:
 
 
 class Source:
-    """Lazy access to the ledger of one table folder and to everything derived from it.
+    """Lazy access to the ledger of one table folder and to what is derived from it.
 
-    `settle=True` stores the two rollups first; the queries that combine many results use it.
+    `shared=True` settles the derived ledger first, for queries that read it more than once.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, settle: bool = False):
+    def __init__(self, spark: SparkSession, sf_dir: str, shared: bool = False):
         self.spark, self.sf_dir = spark, sf_dir
         self.ledger = ledger.ledger(spark, sf_dir)
+        if shared:
+            self.ledger = settle(self.ledger, "ledger")
         self.enriched = kpi.enrich(self.ledger)
         self.rollups = kpi.roll_up(self.enriched)
-        if settle:
-            self.rollups = kpi.settled(self.rollups)
-
-    @property
-    def coerced_dirty(self) -> DataFrame:
-        return coerce_types(ledger.dirty_ledger(self.spark, self.sf_dir))
 
     @property
     def performance(self) -> DataFrame:
         return kpi.product_performance(self.rollups)
 
-    @property
-    def category(self) -> DataFrame:
-        return kpi.category_performance(self.rollups)
-
     @property
     def summary(self) -> DataFrame:
         return kpi.summary_metrics(self.rollups, self.performance)
 
-    @property
-    def demand(self) -> DataFrame:
-        return forecast.daily_demand(self.enriched)
-
     @property
     def forecast(self) -> DataFrame:
         return forecast.product_forecast(forecast.daily_demand(self.rollups.daily), self.performance)
@@ -72,36 +61,49 @@ class Source:
     def advice(self) -> DataFrame:
         return recommend.recommendations(self.performance)
 
-    @property
-    def context(self) -> questions.Context:
-        return questions.Context(
-            self.summary,
-            kpi.risk_summary(self.performance),
-            self.performance,
-            self.category,
-            self.advice,
-            self.forecast,
-            forecast.forecast_summary(self.forecast),
-        )
-
     @property
     def questions(self) -> DataFrame:
         return ledger.questions(self.spark, self.sf_dir)
 
 
-def _settled(spark: SparkSession, sf_dir: str) -> Source:
-    return Source(spark, sf_dir, settle=True)
+def _shared(spark: SparkSession, sf_dir: str) -> Source:
+    return Source(spark, sf_dir, shared=True)
+
+
+def _analysis(spark: SparkSession, sf_dir: str) -> analysis.Analysis:
+    return analysis.build(_shared(spark, sf_dir).enriched)
+
+
+def _context(spark: SparkSession, sf_dir: str) -> questions.Context:
+    return _analysis(spark, sf_dir).context()
+
+
+def _coerced_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coerce_types(ledger.dirty_ledger(spark, sf_dir))
+
+
+def _outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.sales_outliers(coerce_types(settle(ledger.dirty_ledger(spark, sf_dir), "dirty-ledger")))
+
+
+def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.duplicate_rows(settle(ledger.dirty_ledger(spark, sf_dir), "dirty-ledger"))
+
+
+def _insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = _analysis(spark, sf_dir)
+    return ranking.executive_insights(result.performance, result.category, result.summary)
 
 
 def _report(spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    report = quality.validate(source(spark, sf_dir)).report
+    report = quality.validate(settle(source(spark, sf_dir), "ledger")).report
     return report.select(
         "is_valid", "data_quality_score", _lines("errors"), _lines("warnings"), "row_count", _lines("columns")
     )
 
 
 def _evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    record = analysis.evaluate(ledger.ledger(spark, sf_dir), "lineitem").record
+    record = analysis.evaluate(_shared(spark, sf_dir).ledger, "lineitem").record
     params = record.select("run_name", F.explode("params").alias("name", "text_value")).withColumn(
         "number_value", F.lit(None).cast("double")
     )
@@ -112,19 +114,25 @@ def _evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _analysis_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = analysis.analyze(ledger.ledger(spark, sf_dir))
+    result = analysis.analyze(_shared(spark, sf_dir).ledger)
     counts = [f.agg(F.count("*").alias("row_count")).withColumn("output", F.lit(n)) for n, f in result.outputs().items()]
     return files.union_all(counts)
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = _settled(spark, sf_dir)
-    return questions.answers(source.questions, source.context).withColumn("tools_used", F.array_join("tools_used", ","))
+    answered = questions.answers(ledger.questions(spark, sf_dir), _context(spark, sf_dir))
+    return answered.withColumn("tools_used", F.array_join("tools_used", ","))
+
 
+def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = _shared(spark, sf_dir)
+    return questions.product_mentions(source.questions, source.performance)
 
-def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = Source(spark, sf_dir)
-    return questions.route(source.questions, source.performance)
+
+def _intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = _shared(spark, sf_dir)
+    routed = questions.route(source.questions, source.performance)
+    return routed.select("question_id", "product_name", "intent")
 
 
 def _advice(df: DataFrame) -> DataFrame:
@@ -136,15 +144,15 @@ def queries() -> dict[str, Query]:
         # sources and sinks
         "ledger": lambda s, d: _day_text(ledger.ledger(s, d)),
         "json_safe": lambda s, d: files.json_safe(Source(s, d).performance),
-        "json_records": lambda s, d: files.json_records(Source(s, d).forecast),
+        "json_records": lambda s, d: files.json_records(_shared(s, d).forecast),
         "evaluation_run": _evaluation_run,
         "analysis_outputs": _analysis_outputs,
         "preview": lambda s, d: _day_text(ranking.preview(ledger.ledger(s, d))),
         # quality
-        "coerce_counts": lambda s, d: quality.coerce_counts(Source(s, d).coerced_dirty),
-        "quality_counts": lambda s, d: quality.quality_counts(Source(s, d).coerced_dirty),
-        "sales_outliers": lambda s, d: quality.sales_outliers(Source(s, d).coerced_dirty),
-        "duplicate_rows": lambda s, d: quality.duplicate_rows(ledger.dirty_ledger(s, d)),
+        "coerce_counts": lambda s, d: quality.coerce_counts(_coerced_dirty(s, d)),
+        "quality_counts": lambda s, d: quality.quality_counts(_coerced_dirty(s, d)),
+        "sales_outliers": _outliers,
+        "duplicate_rows": _duplicates,
         "validation_report": lambda s, d: _report(s, d, ledger.dirty_ledger),
         "validation_report_clean": lambda s, d: _report(s, d, ledger.ledger),
         # KPIs
@@ -152,19 +160,19 @@ def queries() -> dict[str, Query]:
         "latest_snapshot": lambda s, d: _day_text(kpi.latest_snapshot(Source(s, d).enriched)),
         "latest_stock": lambda s, d: kpi.latest_stock(Source(s, d).rollups),
         "product_performance": lambda s, d: kpi.by_revenue(Source(s, d).performance),
-        "category_performance": lambda s, d: kpi.by_revenue(Source(s, d).category),
+        "category_performance": lambda s, d: kpi.by_revenue(kpi.category_performance(Source(s, d).rollups)),
         "risk_summary": lambda s, d: kpi.risk_summary(Source(s, d).performance),
         "high_risk_products": lambda s, d: kpi.high_risk_products(kpi.risk_summary(Source(s, d).performance)),
-        "summary_metrics": lambda s, d: Source(s, d).summary,
+        "summary_metrics": lambda s, d: _shared(s, d).summary,
         "daily_revenue": lambda s, d: _day_text(kpi.daily_revenue(Source(s, d).rollups).orderBy("date")),
         # forecast and evaluation
-        "daily_demand": lambda s, d: _day_text(Source(s, d).demand),
-        "demand_calendar": lambda s, d: _day_text(forecast.demand_calendar(Source(s, d).demand)),
-        "demand_windows": lambda s, d: forecast.demand_windows(Source(s, d).demand).withColumn(
-            "demand_std", F.round("demand_std", 6)
-        ),
-        "product_forecast": lambda s, d: forecast.by_urgency(Source(s, d).forecast),
-        "forecast_summary": lambda s, d: forecast.forecast_summary(Source(s, d).forecast),
+        "daily_demand": lambda s, d: _day_text(forecast.daily_demand(Source(s, d).enriched)),
+        "demand_calendar": lambda s, d: _day_text(forecast.demand_calendar(forecast.daily_demand(Source(s, d).enriched))),
+        "demand_windows": lambda s, d: forecast.demand_windows(
+            forecast.daily_demand(Source(s, d).enriched)
+        ).withColumn("demand_std", F.round("demand_std", 6)),
+        "product_forecast": lambda s, d: forecast.by_urgency(_shared(s, d).forecast),
+        "forecast_summary": lambda s, d: forecast.forecast_summary(_shared(s, d).forecast),
         "forecast_eval": lambda s, d: _day_text(Source(s, d).evaluation),
         "forecast_metrics": lambda s, d: evaluation.forecast_metrics(Source(s, d).evaluation),
         # recommendations
@@ -174,16 +182,14 @@ def queries() -> dict[str, Query]:
         "top_products": lambda s, d: ranking.top_products(Source(s, d).performance),
         "top_products_chart": lambda s, d: ranking.top_products(Source(s, d).performance, ranking.CHART_TOP),
         "top_waste": lambda s, d: ranking.top_waste(Source(s, d).performance),
-        "top_reorder": lambda s, d: ranking.top_reorder(Source(s, d).forecast),
+        "top_reorder": lambda s, d: ranking.top_reorder(_shared(s, d).forecast),
         "top_recommendations": lambda s, d: _advice(ranking.top_recommendations(Source(s, d).advice)),
         "stockout_list": lambda s, d: ranking.stockout_list(Source(s, d).performance),
         "overstock_list": lambda s, d: ranking.overstock_list(Source(s, d).performance),
-        "executive_insights": lambda s, d: (
-            lambda x: ranking.executive_insights(x.performance, x.category, x.summary)
-        )(_settled(s, d)),
+        "executive_insights": _insights,
         "product_table": lambda s, d: Source(s, d).performance.select(*ranking.PRODUCT_TABLE),
-        "category_table": lambda s, d: Source(s, d).category.select(*ranking.CATEGORY_TABLE),
-        "forecast_table": lambda s, d: Source(s, d).forecast.select(*ranking.FORECAST_TABLE),
+        "category_table": lambda s, d: kpi.category_performance(Source(s, d).rollups).select(*ranking.CATEGORY_TABLE),
+        "forecast_table": lambda s, d: _shared(s, d).forecast.select(*ranking.FORECAST_TABLE),
         "recommendation_table": lambda s, d: Source(s, d).advice.select(*ranking.RECOMMENDATION_TABLE),
         "stockout_table": lambda s, d: ranking.stockout_list(Source(s, d).performance).select(
             *ranking.STOCKOUT_TABLE
@@ -192,14 +198,12 @@ def queries() -> dict[str, Query]:
             *ranking.OVERSTOCK_TABLE
         ),
         # questions
-        "question_product": lambda s, d: (
-            lambda x: questions.product_mentions(x.questions, x.performance)
-        )(Source(s, d)),
-        "question_intent": lambda s, d: _routed(s, d).select("question_id", "product_name", "intent"),
-        "product_card": lambda s, d: questions.product_cards(_settled(s, d).context),
-        "answer_lines": lambda s, d: questions.answer_lines(_settled(s, d).context),
-        "product_advice_lines": lambda s, d: questions.product_advice_lines(_settled(s, d).context),
-        "intent_messages": lambda s, d: questions.intent_messages(_settled(s, d).context),
-        "product_messages": lambda s, d: questions.product_messages(_settled(s, d).context),
+        "question_product": _mentions,
+        "question_intent": _intents,
+        "product_card": lambda s, d: questions.product_cards(_context(s, d)),
+        "answer_lines": lambda s, d: questions.answer_lines(_context(s, d)),
+        "product_advice_lines": lambda s, d: questions.product_advice_lines(_context(s, d)),
+        "intent_messages": lambda s, d: questions.intent_messages(_context(s, d)),
+        "product_messages": lambda s, d: questions.product_messages(_context(s, d)),
         "answers": _answers,
     }

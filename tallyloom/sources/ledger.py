@@ -31,14 +31,15 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = load_table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate"
     )
-    parts = load_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
-
-    waste = F.floor(F.col("l_quantity") * (F.length("p_name") % 4) / 10).cast("double")
+    parts = load_table(spark, sf_dir, "part").select(
+        "p_partkey", "p_name", "p_retailprice", (F.length("p_name") % 4).alias("waste_tenths")
+    )
+    waste = F.floor(F.col("l_quantity") * F.col("waste_tenths") / 10).cast("double")
     movements = (
         lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(
             F.to_date("l_shipdate").alias("date"),
-            F.concat(F.lit("S00"), (F.col("l_suppkey") % STORES).cast("string")).alias("store_id"),
+            (F.col("l_suppkey") % STORES).alias("store_no"),
             F.col("p_name").alias("product_name"),
         )
         .agg(
@@ -48,7 +49,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
 
-    shelf = Window.partitionBy("store_id", "product_name").orderBy("date")
+    shelf = Window.partitionBy("store_no", "product_name").orderBy("date")
     numbered = movements.withColumns(
         {
             "day_no": F.row_number().over(shelf) - 1,
@@ -56,7 +57,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     ).withColumn("block", F.floor(F.col("day_no") / BLOCK_DAYS))
 
-    in_block = Window.partitionBy("store_id", "product_name", "block").orderBy("date")
+    in_block = Window.partitionBy("store_no", "product_name", "block").orderBy("date")
     first = F.col("day_no") % BLOCK_DAYS == 0
     total = F.sum("moved").over(in_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     running = F.sum("moved").over(in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -64,7 +65,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = F.col("total") - F.col("running")
     return stocked.select(
         "date",
-        "store_id",
+        F.concat(F.lit("S00"), F.col("store_no").cast("string")).alias("store_id"),
         F.replace("product_name", F.lit(" "), F.lit("_")).alias("product_id"),
         "product_name",
         F.split_part("product_name", F.lit(" "), F.lit(2)).alias("category"),
