@@ -98,9 +98,25 @@ def roll_up(enriched: DataFrame) -> Rollups:
     return Rollups(daily_rollup(enriched), latest_snapshot(enriched).select(*slim))
 
 
+def stacked(rollups: Rollups) -> DataFrame:
+    """Both rollups in one frame: day rows, and latest rows with their stock as `latest_closing`."""
+    latest = rollups.latest.select(
+        F.lit("latest").alias("rollup"),
+        "store_id",
+        *PRODUCT_KEYS,
+        F.col("closing_stock").alias("latest_closing"),
+        "closing_inventory_value",
+    )
+    daily = rollups.daily.select(F.lit("daily").alias("rollup"), "*")
+    return daily.unionByName(latest, allowMissingColumns=True)
+
+
 def settled(rollups: Rollups) -> Rollups:
-    """Write both rollups once, for callers that derive several results from them."""
-    return Rollups(settle(rollups.daily, "daily"), settle(rollups.latest, "latest"))
+    """Write both rollups once, in one job, for callers that derive several results from them."""
+    table = settle(stacked(rollups), "rollups")
+    daily = table.filter("rollup = 'daily'").select(*rollups.daily.columns)
+    latest = table.filter("rollup = 'latest'").withColumnRenamed("latest_closing", "closing_stock")
+    return Rollups(daily, latest.select(*rollups.latest.columns))
 
 
 # ---------------------------------------------------------------- aggregates
@@ -136,11 +152,9 @@ def product_performance(rollups: Rollups) -> DataFrame:
     missing key by counts rather than by a filter on the keys: a filter would be pushed into one of the two stacked
     branches only, and Spark could no longer run their common part once.
     """
-    stacked = rollups.daily.unionByName(
-        rollups.latest.select(*PRODUCT_KEYS, F.col("closing_stock").alias("latest_closing")), allowMissingColumns=True
-    )
     totals = (
-        stacked.groupBy(*PRODUCT_KEYS)
+        stacked(rollups)
+        .groupBy(*PRODUCT_KEYS)
         .agg(
             *money_resums(MONEY_COLUMNS),
             *_unit_totals(),

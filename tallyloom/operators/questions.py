@@ -302,10 +302,16 @@ def _joined(lines: Column, numbered: Column) -> Column:
 def list_messages(context: Context) -> DataFrame:
     """One row per list intent: (intent, success, message)."""
     inlined = _inline(answer_lines(context), ["intent"], ["grade", "measure", "line"])
-    intents = context.performance.sparkSession.createDataFrame(
-        [(intent, *entry) for intent, entry in LISTS.items()],
-        "intent string, header string, empty_text string, empty_success boolean",
-    )
+    entries = [
+        F.struct(
+            F.lit(intent).alias("intent"),
+            F.lit(header).alias("header"),
+            F.lit(empty_text).alias("empty_text"),
+            F.lit(success).alias("empty_success"),
+        )
+        for intent, (header, empty_text, success) in LISTS.items()
+    ]
+    intents = context.performance.sparkSession.range(1).select(F.inline(F.array(*entries)))
     full = F.concat(
         F.col("header"), F.lit("\n\n"), _joined(F.col("lines"), F.col("intent") == "top_products")
     )

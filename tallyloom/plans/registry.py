@@ -30,16 +30,15 @@ def _lines(column: str) -> Column:
 class Source:
     """Lazy access to the ledger of one table folder and to what is derived from it.
 
-    `shared=True` settles the derived ledger first, for queries that read it more than once.
+    `shared=True` settles the two rollups first, for queries that combine several results of them.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, shared: bool = False):
         self.spark, self.sf_dir = spark, sf_dir
-        self.ledger = ledger.ledger(spark, sf_dir)
-        if shared:
-            self.ledger = settle(self.ledger, "ledger")
-        self.enriched = kpi.enrich(self.ledger)
+        self.enriched = kpi.enrich(ledger.ledger(spark, sf_dir))
         self.rollups = kpi.roll_up(self.enriched)
+        if shared:
+            self.rollups = kpi.settled(self.rollups)
 
     @property
     def performance(self) -> DataFrame:
@@ -70,8 +69,13 @@ def _shared(spark: SparkSession, sf_dir: str) -> Source:
     return Source(spark, sf_dir, shared=True)
 
 
+def _stored_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived ledger as a table, for jobs that scan the ledger itself several times."""
+    return settle(ledger.ledger(spark, sf_dir), "ledger")
+
+
 def _analysis(spark: SparkSession, sf_dir: str) -> analysis.Analysis:
-    return analysis.build(_shared(spark, sf_dir).enriched)
+    return analysis.build(Source(spark, sf_dir).enriched)
 
 
 def _context(spark: SparkSession, sf_dir: str) -> questions.Context:
@@ -103,7 +107,7 @@ def _report(spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, st
 
 
 def _evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    record = analysis.evaluate(_shared(spark, sf_dir).ledger, "lineitem").record
+    record = analysis.evaluate(_stored_ledger(spark, sf_dir), "lineitem").record
     params = record.select("run_name", F.explode("params").alias("name", "text_value")).withColumn(
         "number_value", F.lit(None).cast("double")
     )
@@ -114,7 +118,7 @@ def _evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _analysis_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = analysis.analyze(_shared(spark, sf_dir).ledger)
+    result = analysis.analyze(_stored_ledger(spark, sf_dir))
     counts = [f.agg(F.count("*").alias("row_count")).withColumn("output", F.lit(n)) for n, f in result.outputs().items()]
     return files.union_all(counts)
 
