@@ -17,6 +17,7 @@ from tallyloom.sources.schema import PRODUCT_KEYS
 
 TOP = 5
 CHART_TOP = 8
+BRIEF_TOP = 10
 PREVIEW_ROWS = 50
 
 # Columns of the report tables.
@@ -40,6 +41,15 @@ STOCKOUT_TABLE = (
     "product_name", "category", "current_stock", "avg_daily_demand", "days_of_stock_left", "stockout_risk",
 )
 OVERSTOCK_TABLE = STOCKOUT_TABLE[:-1] + ("overstock_risk",)
+PRODUCT_BRIEF = (
+    "product_name", "category", "total_revenue", "total_units_sold", "current_stock", "stockout_risk",
+    "overstock_risk", "product_health_score",
+)
+FORECAST_BRIEF = (
+    "product_name", "category", "current_stock", "predicted_demand", "safety_stock", "recommended_reorder_quantity",
+    "trend_direction", "forecast_stockout_risk", "confidence",
+)
+RECOMMENDATION_BRIEF = ("priority", "product_name", "recommendation_type", "action", "confidence")
 
 
 def top_products(performance: DataFrame, k: int = TOP) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import evaluation, forecast, kpi, quality, questions, recommend
@@ -105,6 +105,11 @@ def checked(ledger: DataFrame) -> tuple[quality.Validation, bool]:
     return quality.Validation(report, result.cleaned), report.first()["is_valid"]
 
 
+def validate_file(spark: SparkSession, path: str) -> quality.Validation:
+    """Read a ledger file, directory or glob, and check it."""
+    return quality.validate(files.read_ledger(spark, path))
+
+
 def analyze(ledger: DataFrame) -> Analysis | Rejected:
     """Validate, then build every result."""
     validation, valid = checked(ledger)

@@ -532,6 +532,7 @@ UNION ALL SELECT 'recommendations', COUNT(*) FROM rec""",
     "top_products": f"SELECT * FROM perf ORDER BY total_revenue DESC, {PRODUCT_KEYS} LIMIT 5",
     "top_products_chart": f"SELECT * FROM perf ORDER BY total_revenue DESC, {PRODUCT_KEYS} LIMIT 8",
     "top_waste": f"SELECT * FROM perf ORDER BY total_waste_value DESC, {PRODUCT_KEYS} LIMIT 5",
+    "top_waste_chart": f"SELECT * FROM perf ORDER BY total_waste_value DESC, {PRODUCT_KEYS} LIMIT 8",
     "top_reorder": "SELECT * FROM fc ORDER BY recommended_reorder_quantity DESC, product_id LIMIT 8",
     "top_recommendations": f"{ADVICE} FROM (SELECT * FROM rec ORDER BY grade, total_revenue DESC, {PRODUCT_KEYS}, "
     "rule_no LIMIT 5) x",
@@ -559,6 +560,12 @@ SELECT 4, 'inventory_health', 'inventory', CAST(inventory_health_score AS DOUBLE
     "forecast_table": f"SELECT {FORECAST_COLUMNS} FROM fc",
     "recommendation_table": """SELECT priority, product_name, category, recommendation_type, action, reason, confidence,
   current_stock, avg_daily_demand, days_of_stock_left, product_health_score FROM rec""",
+    "product_brief": f"""SELECT product_name, category, total_revenue, total_units_sold, current_stock, stockout_risk,
+  overstock_risk, product_health_score FROM perf ORDER BY total_revenue DESC, {PRODUCT_KEYS} LIMIT 5""",
+    "forecast_brief": """SELECT product_name, category, current_stock, predicted_demand, safety_stock,
+  recommended_reorder_quantity, trend_direction, forecast_stockout_risk, confidence FROM fc""",
+    "recommendation_brief": f"""SELECT priority, product_name, recommendation_type, action, confidence
+FROM (SELECT * FROM rec ORDER BY grade, total_revenue DESC, {PRODUCT_KEYS}, rule_no LIMIT 10) x""",
     "stockout_table": """SELECT product_name, category, current_stock, avg_daily_demand, days_of_stock_left, stockout_risk
 FROM perf WHERE stockout_risk IN ('High', 'Medium')""",
     "overstock_table": """SELECT product_name, category, current_stock, avg_daily_demand, days_of_stock_left,

@@ -129,12 +129,12 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = _shared(spark, sf_dir)
+    source = Source(spark, sf_dir)
     return questions.product_mentions(source.questions, source.performance)
 
 
 def _intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = _shared(spark, sf_dir)
+    source = Source(spark, sf_dir)
     routed = questions.route(source.questions, source.performance)
     return routed.select("question_id", "product_name", "intent")
 
@@ -186,6 +186,7 @@ def queries() -> dict[str, Query]:
         "top_products": lambda s, d: ranking.top_products(Source(s, d).performance),
         "top_products_chart": lambda s, d: ranking.top_products(Source(s, d).performance, ranking.CHART_TOP),
         "top_waste": lambda s, d: ranking.top_waste(Source(s, d).performance),
+        "top_waste_chart": lambda s, d: ranking.top_waste(Source(s, d).performance, ranking.CHART_TOP),
         "top_reorder": lambda s, d: ranking.top_reorder(_shared(s, d).forecast),
         "top_recommendations": lambda s, d: _advice(ranking.top_recommendations(Source(s, d).advice)),
         "stockout_list": lambda s, d: ranking.stockout_list(Source(s, d).performance),
@@ -195,6 +196,11 @@ def queries() -> dict[str, Query]:
         "category_table": lambda s, d: kpi.category_performance(Source(s, d).rollups).select(*ranking.CATEGORY_TABLE),
         "forecast_table": lambda s, d: _shared(s, d).forecast.select(*ranking.FORECAST_TABLE),
         "recommendation_table": lambda s, d: Source(s, d).advice.select(*ranking.RECOMMENDATION_TABLE),
+        "product_brief": lambda s, d: ranking.top_products(Source(s, d).performance).select(*ranking.PRODUCT_BRIEF),
+        "forecast_brief": lambda s, d: _shared(s, d).forecast.select(*ranking.FORECAST_BRIEF),
+        "recommendation_brief": lambda s, d: ranking.top_recommendations(
+            Source(s, d).advice, ranking.BRIEF_TOP
+        ).select(*ranking.RECOMMENDATION_BRIEF),
         "stockout_table": lambda s, d: ranking.stockout_list(Source(s, d).performance).select(
             *ranking.STOCKOUT_TABLE
         ),

@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import quality
+from tallyloom.plans import analysis
 from tallyloom.sources import files
 from tallyloom.sources.ledger import ledger
 from tallyloom.sources.schema import standardise_columns
@@ -37,8 +37,8 @@ def test_ledger_survives_csv_and_parquet(spark, tmp_path):
     source = ledger(spark, SF_SMALL)
     files.write_csv(source, f"{tmp_path}/out.csv")
     source.write.parquet(f"{tmp_path}/out.parquet")
-    from_csv = quality.validate(files.read_ledger(spark, f"{tmp_path}/out.csv"))
-    from_parquet = quality.validate(files.read_ledger(spark, f"{tmp_path}/out.parquet"))
+    from_csv = analysis.validate_file(spark, f"{tmp_path}/out.csv")
+    from_parquet = analysis.validate_file(spark, f"{tmp_path}/out.parquet")
     assert from_csv.report.first() == from_parquet.report.first()
     assert from_csv.cleaned.exceptAll(from_parquet.cleaned).isEmpty()
     assert from_parquet.cleaned.exceptAll(from_csv.cleaned).isEmpty()
