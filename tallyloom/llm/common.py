@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -12,8 +13,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.sources.tables import settle as _settle
-
 # A word is a run of anything but the six ASCII white-space characters; bytes.split() cuts exactly there.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -22,14 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame below spark.checkpoint.dir and read it back. Where no session sets that folder (tests, a notebook),
-    a temporary one is set first; clusters name their shared folder.
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A folder of its own below spark.checkpoint.dir. Where no session sets that (tests, a notebook), a temporary one is
+    set first; clusters name their shared folder.
     """
-    conf = df.sparkSession.conf
-    if not conf.get("spark.checkpoint.dir", None):
-        conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tallyloom-"))
-    return _settle(df, label)
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tallyloom-"))
+    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/tallyloom/{label}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame to a new folder and read it back, so that later jobs start from files that outlive executors."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def word_count(text: Column) -> Column:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import simhash
-from tallyloom.llm.common import table
+from tallyloom.llm import bpe, mixing, simhash, token_files
+from tallyloom.llm.common import new_folder, table, word_count
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,8 +21,33 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, TOKENIZER)
+    rows = token_files.with_starts(token_files.with_crc(token_files.read_tokens(spark, path)))
+    return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = bpe.with_decoded(bpe.with_ids(docs, TOKENIZER).drop("text"), TOKENIZER)
+    rows = rows.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("decoded_sha256", F.sha2("decoded", 256))
+    return bpe.with_digest(rows.drop("decoded"), "ids", "ids_sha256").drop("ids")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    size = word_count(F.col("text")).alias("size")
+    mixed = mixing.mix(docs.select("source", size, F.col("doc_id").cast("string").alias("hash")))
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return mixed.select(F.col("hash").cast("long").alias("doc_id"), "size", "source_size", "target", taken)
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
+    "op2_token_files": op2_token_files,
+    "op3_bpe": op3_bpe,
+    "op8_mixing": op8_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
