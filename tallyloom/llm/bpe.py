@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 from struct import pack
@@ -27,7 +27,8 @@ from tokenizers import Tokenizer
 from tallyloom.llm.common import slices, texts
 
 CACHE_CHUNKS = 500_000
-SLICE_BYTES = 4 << 20
+PAIRS = 250_000
+SLICE_BYTES = 2 << 20
 NEVER = 1 << 40
 
 
@@ -38,24 +39,77 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
-class Vocabulary:
-    """A byte-level BPE vocabulary with merges, as in a tokenizers file (given as text)."""
+# The vocabulary's split rule, with letters, numbers and white space spelled out for lower case below U+0100.
+_WORDS = re.compile(
+    "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]"
+    "|[^a-z0-9\t-\r \u0085\u00a0\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00df-\u00f6\u00f8-\u00ff]+"
+)
+
+
+# Fixed value: the split rule under which no token crosses ASCII white space and white space leaves no token.
+SPLIT_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_at_space(spec: dict) -> bool:
+    """Whether texts of a tokenizers file may be cut at ASCII white space: it splits by the rule above and drops the rest."""
+    split = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+    return split == {"type": "Split", "pattern": {"Regex": SPLIT_RULE}, "behavior": "Removed", "invert": True}
+
+
+def lowers(spec: dict) -> bool:
+    """Whether its normaliser lower-cases."""
+    return any(n["type"] == "Lowercase" for n in (spec["normalizer"] or {}).get("normalizers", []))
+
+
+class Splitter:
+    """Cuts texts into words and special tokens as a tokenizers file (given as text) tells."""
 
     def __init__(self, text: str):
-        spec = json.loads(text)
-        model = spec["model"]
-        if model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("byte_fallback"):
-            raise ValueError("a byte-level BPE model without prefixes or byte fallback is needed")
+        self.spec = json.loads(text)
+        if not cuts_at_space(self.spec):
+            raise ValueError("the vocabulary must split texts by the rule SPLIT_RULE")
+        self.lower = lowers(self.spec)
         self.library = Tokenizer.from_str(text)
-        self.ids: dict[str, int] = model["vocab"]
-        self.end: str = model.get("end_of_word_suffix") or ""
-        self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+        added = self.spec["added_tokens"]
+        if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
             raise ValueError("added tokens must match plain text")
+        self.special: dict[str, int] = {t["content"]: t["id"] for t in added}
+        self.marks = [x.encode() for x in self.special]
         by_length = sorted(map(re.escape, self.special), key=len, reverse=True)
         self.special_pattern = re.compile(f"({'|'.join(by_length)})") if by_length else None
-        self.marks = [x.encode() for x in self.special]
         self.letters = dict(enumerate(byte_letters()))
+
+    def pieces(self, chunk: bytes) -> list[str | int]:
+        """Words in byte letters, and ids of special tokens."""
+        text = chunk.decode()
+        if not any(m in chunk for m in self.marks):
+            return self.words(text)
+        parts = [p for p in self.special_pattern.split(text) if p]
+        return [w for p in parts for w in ([self.special[p]] if p in self.special else self.words(p))]
+
+    def words(self, text: str) -> list[str]:
+        """Words of a text in byte letters: below U+0100 by the rule itself, others by the library's normaliser and splitter."""
+        if text.isascii():
+            if text.isalpha():
+                return [text.lower()]
+            found = _WORDS.findall(text.lower())
+            return found if text.isprintable() else [w.translate(self.letters) for w in found]
+        if max(text) < "\u0100":  # composed already, and lower case is letter by letter
+            return [w.encode().decode("latin-1").translate(self.letters) for w in _WORDS.findall(text.lower())]
+        normal = self.library.normalizer.normalize_str(text)
+        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+
+
+class Vocabulary(Splitter):
+    """A byte-level BPE vocabulary with merges."""
+
+    def __init__(self, text: str):
+        super().__init__(text)
+        model = self.spec["model"]
+        if model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("byte_fallback"):
+            raise ValueError("a byte-level BPE model without prefixes or byte fallback is needed")
+        self.ids: dict[str, int] = model["vocab"]
+        self.end: str = model.get("end_of_word_suffix") or ""
         self.ranks: dict[tuple[int, int], int] = {}
         parts: dict[int, tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
@@ -65,6 +119,7 @@ class Vocabulary:
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
         # Every beginning of a token: its id if it is a token itself, else -1.
         self.openings = {t[:n]: -1 for t in self.ids for n in range(1, len(t))} | self.ids
+        self.apart: dict[int, bool] = {}
         # The pieces at a token's right and left edge while it was built, each with the rank of the merge that took it.
         self.right_edge = {t: tuple(self._edge(t, parts, 1)) for t in self.tokens}
         self.left_edge = {t: tuple(self._edge(t, parts, 0)) for t in self.tokens}
@@ -84,6 +139,14 @@ class Vocabulary:
 
     def stay_apart(self, left: int, right: int) -> bool:
         """Whether encoding the text of both tokens gives these two: no pair of edge pieces merges while both exist."""
+        known = self.apart.get(left << 32 | right)
+        if known is None:
+            if len(self.apart) >= PAIRS:
+                self.apart.clear()
+            known = self.apart[left << 32 | right] = self._stay_apart(left, right)
+        return known
+
+    def _stay_apart(self, left: int, right: int) -> bool:
         ranks = self.ranks
         for a, a_taken in self.right_edge[left]:
             for b, b_taken in self.left_edge[right]:
@@ -93,100 +156,89 @@ class Vocabulary:
         return True
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Ids of distinct non-empty words given in byte letters, packed as little-endian unsigned 32-bit integers."""
+        """Ids of distinct non-empty words given in byte letters, packed as little-endian unsigned 32-bit integers.
+
+        Sorted words are a depth-first walk over their trie, of which only the current path is held: by depth, where its
+        last token starts and which that is, and from where on something starts that a token may begin with.
+        """
         openings, apart, end = self.openings.get, self.stay_apart, self.end
-        trie: dict = {}
-        for word in words:
-            node = trie
-            for letter in word[:-1]:
-                node = node.setdefault(letter, {})
-            node[word[-1] + "\n"] = word  # where a word ends; no byte letter is a line feed
         found: dict[str, bytes] = {}
-        last: list[int] = [0] * 64  # by depth: the last token of the prefix that ends there, and where it starts
-        start: list[int] = [0] * 64
-        # Beside its prefix a node keeps where something starts that a token may begin with: only those can end in one.
-        stack = [(0, "", [], "", trie)]
-        while stack:
-            depth, prefix, alive, letter, below = stack.pop()
-            if letter:
-                closing = type(below) is str
-                prefix += letter[0] + end if closing else letter
-                if depth >= len(last):
-                    last += [0] * len(last)
-                    start += [0] * len(start)
-                still, chosen = [], False
-                for at in [*alive, depth - 1]:
-                    token = openings(prefix[at:])
+        alive: list[list[int]] = [[0]]
+        last, start = [0], [0]
+        before = ""
+        for word in sorted(words):
+            size, shared = len(word), 0
+            for a, b in zip(word[:-1], before[:-1]):  # a word's last letter is a leaf of its own: it closes the word
+                if a != b:
+                    break
+                shared += 1
+            before = word
+            while len(last) <= size:
+                alive.append([])
+                last.append(0)
+                start.append(0)
+            for depth in range(shared + 1, size + 1):
+                still, chosen, suffix = [], False, end if depth == size else ""
+                for at in alive[depth - 1]:
+                    token = openings(word[at:depth] + suffix)
                     if token is not None:
                         still.append(at)
-                        if not chosen and token >= 0 and (not at or apart(last[at], token)):
+                        if token >= 0 and not chosen and (not at or apart(last[at], token)):
                             last[depth], start[depth], chosen = token, at, True
                 if not chosen:
-                    raise ValueError(f"no token ends {prefix!r}")
-                if closing:
-                    tokens = []
-                    while depth:
-                        tokens.append(last[depth])
-                        depth = start[depth]
-                    found[below] = pack(f"<{len(tokens)}I", *reversed(tokens))
-                    continue
-                alive = still
-            for letter, under in below.items():
-                stack.append((depth + 1, prefix, alive, letter, under))
+                    raise ValueError(f"no token ends {word[:depth]!r}")
+                still.append(depth)
+                alive[depth] = still
+            tokens, depth = [], size
+            while depth:
+                tokens.append(last[depth])
+                depth = start[depth]
+            tokens.reverse()
+            found[word] = pack(f"<{len(tokens)}I", *tokens)
         return found
 
-    def words(self, text: str) -> list[str]:
-        """Words of a text in byte letters: ASCII by the rule itself, other texts by the library's normaliser and splitter."""
-        if text.isascii():
-            return [w.translate(self.letters) for w in _ASCII_WORDS.findall(text.lower())]
-        normal = self.library.normalizer.normalize_str(text)
-        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
+class ChunkEncoder:
+    """Encodes UTF-8 texts chunk by chunk; a chunk stands between ASCII white space. `encode_words` gives the ids of words.
 
-# The split rule of the vocabulary for texts of ASCII characters without white space.
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-
-
-class TrieEncoder:
-    """Encodes UTF-8 texts; remembers what stood between white space, up to a bounded number."""
+    Known chunks are kept in two generations: when one is full it replaces the older one, and what recurs moves up. So
+    memory is bounded whatever the corpus, and frequent chunks stay.
+    """
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = CACHE_CHUNKS):
-        self.vocabulary, self.limit = vocabulary, limit
-        self.chunks: dict[bytes, bytes] = {}
-        self.known: dict[str, bytes] = {}
+    def __init__(self, splitter: Splitter, encode_words: Callable[[set[str]], dict[str, bytes]], limit: int = CACHE_CHUNKS):
+        self.splitter, self.encode_words, self.limit = splitter, encode_words, limit // 2
+        self.marks = [m.lower() for m in splitter.marks]
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, batch: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in batch]
+        # Upper case would cost a second entry; but special tokens are matched before texts are lower-cased.
+        split = [self._lowered(t).split() for t in batch]
         distinct = set().union(*split)
-        new = distinct.difference(self.chunks)
-        if len(self.chunks) + len(new) > self.limit:
-            self.chunks.clear()
-            new = distinct
-        self._learn(new)
-        get = self.chunks.__getitem__
+        new = distinct.difference(self.recent)
+        if len(self.recent) + len(new) > self.limit:
+            self.older, self.recent, new = self.recent, {}, distinct
+        again = new.intersection(self.older)
+        self.recent.update((c, self.older[c]) for c in again)
+        self.recent.update(self._learn(new - again))
+        get = self.recent.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
-    def _learn(self, chunks: set[bytes]) -> None:
-        v, pieces = self.vocabulary, {}
-        for chunk in chunks:
-            text = chunk.decode()
-            if v.special_pattern and any(m in chunk for m in v.marks):
-                parts = [p for p in v.special_pattern.split(text) if p]
-                pieces[chunk] = [w for p in parts for w in ([v.special[p]] if p in v.special else v.words(p))]
-            else:
-                pieces[chunk] = v.words(text)
-        wanted = {w for words in pieces.values() for w in words if type(w) is str}
-        new = wanted.difference(self.known)
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = wanted
-        self.known |= v.encode_words(new)
-        for chunk, words in pieces.items():
-            if len(words) == 1 and type(words[0]) is str:
-                self.chunks[chunk] = self.known[words[0]]
-            else:
-                self.chunks[chunk] = b"".join(self.known[w] if type(w) is str else pack("<I", w) for w in words)
+    def _lowered(self, text: bytes) -> bytes:
+        if not self.splitter.lower:
+            return text
+        lower = text.lower()
+        return text if any(m in lower for m in self.marks) else lower
+
+    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        pieces = {c: self.splitter.pieces(c) for c in chunks}
+        known = self.encode_words({w for words in pieces.values() for w in words if type(w) is str})
+        return {
+            c: known[words[0]] if len(words) == 1 and type(words[0]) is str
+            else b"".join(known[w] if type(w) is str else pack("<I", w) for w in words)
+            for c, words in pieces.items()
+        }
 
 
 @lru_cache(2)
@@ -195,9 +247,9 @@ def vocabulary(text: str) -> Vocabulary:
 
 
 @lru_cache(2)
-def _encoder(text: str) -> TrieEncoder:
+def _encoder(text: str) -> ChunkEncoder:
     """One per Python worker and vocabulary: later tasks of the worker find the cache filled."""
-    return TrieEncoder(vocabulary(text))
+    return ChunkEncoder(vocabulary(text), vocabulary(text).encode_words)
 
 
 def id_lists(encoded: list[bytes]) -> pa.ListArray:

@@ -5,15 +5,17 @@ Ids are dictionary encoded (or delta encoded), row groups and pages are small an
 column and offset indexes, so a reader of a few documents opens the row groups and pages that can hold them, and a
 reader of lengths or positions never touches the ids.
 
-Encoding is a map in the range-partitioned order, by the tokenizers library. Words recur, so what stands between white
-space (which no token of such a vocabulary crosses) is given to the library once per worker while a bounded cache has it.
+Encoding is a map in the range-partitioned order, by the tokenizers library. Words recur, so where no
+token crosses white space the library gets a word once per worker while a bounded cache has what it stands in.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyloom.llm.bpe import CACHE_CHUNKS, SLICE_BYTES, id_bytes, id_lists, read_vocabulary
+from tallyloom.llm.bpe import (
+    CACHE_CHUNKS, SLICE_BYTES, ChunkEncoder, Splitter, cuts_at_space, id_bytes, id_lists, read_vocabulary,
+)
 from tallyloom.llm.common import slices, texts
 
 END_ID = 1
@@ -32,29 +36,26 @@ SCHEMA = "doc_id long, shard int, place long, n_tokens long, ids array<int>"
 
 
 class LibraryEncoder:
-    """The tokenizers library behind a bounded cache of what stands between ASCII white space."""
+    """The tokenizers library. Where texts may be cut at white space, its model gets each new word of them once, behind a
+    bounded cache of what stands between white space; otherwise it gets whole texts.
+    """
 
-    def __init__(self, spec: str, limit: int = CACHE_CHUNKS):
-        self.library, self.limit = Tokenizer.from_str(spec), limit
+    def __init__(self, text: str, limit: int = CACHE_CHUNKS):
+        self.library = Tokenizer.from_str(text)
         self.library.no_truncation()
         self.library.no_padding()
-        self.chunks: dict[bytes, bytes] = {}
+        self.chunks = ChunkEncoder(Splitter(text), self._words, limit) if cuts_at_space(json.loads(text)) else None
 
     def encode(self, batch: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in batch]
-        distinct = set().union(*split)
-        new = distinct.difference(self.chunks)
-        if len(self.chunks) + len(new) > self.limit:
-            self.chunks.clear()
-            new = distinct
-        new = list(new)
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            encoded = self.library.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
-            self.chunks.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, encoded))
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        if self.chunks:
+            return self.chunks.encode(batch)
+        encoded = self.library.encode_batch_fast([t.decode() for t in batch], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+
+    def _words(self, words: set[str]) -> dict[str, bytes]:
+        tokenize = self.library.model.tokenize
+        return {w: pack(f"<{len(t)}I", *[x.id for x in t]) for w in words if (t := tokenize(w)) is not None}
 
 
 @lru_cache(2)
