@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, mixing, simhash, token_files
+from tallyloom.llm import bpe, mixing, pii, simhash, token_files
 from tallyloom.llm.common import new_folder, table, word_count
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +35,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.with_digest(rows.drop("decoded"), "ids", "ids_sha256").drop("ids")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_entities(docs, count="n_entities")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     size = word_count(F.col("text")).alias("size")
@@ -47,6 +52,7 @@ QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_token_files": op2_token_files,
     "op3_bpe": op3_bpe,
+    "op5_pii": op5_pii,
     "op8_mixing": op8_mixing,
 }
 
