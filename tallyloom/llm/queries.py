@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, mixing, pii, simhash, token_files
+from tallyloom.llm import bpe, mixing, pii, quality, simhash, token_files, toxicity
+from tallyloom.llm.samples import held_out
 from tallyloom.llm.common import new_folder, table, word_count
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -48,12 +49,29 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("hash").cast("long").alias("doc_id"), "size", "source_size", "target", taken)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, toxicity.THRESHOLD)
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted")
+    )
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, quality.grades(table(spark, sf_dir, "labels")))
+    return quality.rate(docs, model).drop("text")
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_token_files": op2_token_files,
     "op3_bpe": op3_bpe,
     "op5_pii": op5_pii,
     "op8_mixing": op8_mixing,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
