@@ -242,10 +242,10 @@ def redrawn(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     taken = entities.select("kind", F.col("canonical").alias("made"))
     open_ones, attempt, more = entities, 0, []
     while True:
-        made = F.lower(surrogate(F.col("e"), F.lit(attempt), key))
+        drawn = settle(open_ones.withColumn("made", surrogate(F.col("e"), F.lit(attempt), key)), "pii-drawn")
         # Compared in canonical form: heads and separators don't make a surrogate distinct.
-        again = entity_of(surrogate(F.col("e"), F.lit(attempt), key))["canonical"]
-        drawn = open_ones.withColumn("made", F.coalesce(again, made))
+        drawn = drawn.withColumn("again", entity_of(F.col("made"))["canonical"])
+        drawn = drawn.withColumn("made", F.coalesce("again", "made")).drop("again")
         free = drawn.join(taken, ["kind", "made"], "left_anti")
         first = free.groupBy("kind", "made").agg(F.min("canonical").alias("canonical"))
         kept = settle(first.withColumn("attempt", F.lit(attempt)), "pii-kept")
