@@ -40,7 +40,7 @@ class LibraryEncoder:
     bounded cache of what stands between white space; otherwise it gets whole texts.
     """
 
-    def __init__(self, text: str, limit: int = CACHE_CHUNKS):
+    def __init__(self, text: str, limit: int = 3 * CACHE_CHUNKS):
         self.library = Tokenizer.from_str(text)
         self.library.no_truncation()
         self.library.no_padding()
