@@ -51,26 +51,24 @@ SPLIT_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def cuts_at_space(spec: dict) -> bool:
-    """Whether texts of a tokenizers file may be cut at ASCII white space: it splits by the rule above and drops the rest."""
+    """Whether texts of a tokenizers file may be cut at ASCII white space: it splits by the rule above and drops the rest,
+    and lower-cases letter by letter before.
+    """
     split = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
-    return split == {"type": "Split", "pattern": {"Regex": SPLIT_RULE}, "behavior": "Removed", "invert": True}
-
-
-def lowers(spec: dict) -> bool:
-    """Whether its normaliser lower-cases."""
-    return any(n["type"] == "Lowercase" for n in (spec["normalizer"] or {}).get("normalizers", []))
+    lowers = any(n["type"] == "Lowercase" for n in (spec["normalizer"] or {}).get("normalizers", []))
+    rule = {"type": "Split", "pattern": {"Regex": SPLIT_RULE}, "behavior": "Removed", "invert": True}
+    return lowers and split == rule
 
 
 class Splitter:
     """Cuts texts into words and special tokens as a tokenizers file (given as text) tells."""
 
     def __init__(self, text: str):
-        self.spec = json.loads(text)
-        if not cuts_at_space(self.spec):
-            raise ValueError("the vocabulary must split texts by the rule SPLIT_RULE")
-        self.lower = lowers(self.spec)
+        spec = json.loads(text)
+        if not cuts_at_space(spec):
+            raise ValueError("the vocabulary must lower-case texts and split them by SPLIT_RULE")
         self.library = Tokenizer.from_str(text)
-        added = self.spec["added_tokens"]
+        added = spec["added_tokens"]
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
             raise ValueError("added tokens must match plain text")
         self.special: dict[str, int] = {t["content"]: t["id"] for t in added}
@@ -81,6 +79,10 @@ class Splitter:
 
     def pieces(self, chunk: bytes) -> list[str | int]:
         """Words in byte letters, and ids of special tokens."""
+        if chunk.isalpha():  # ASCII letters
+            return [chunk.lower().decode()]
+        if chunk[:-1].isalpha() and 32 < chunk[-1] < 127:  # and something behind them
+            return [chunk[:-1].lower().decode(), chr(chunk[-1])]
         text = chunk.decode()
         if not any(m in chunk for m in self.marks):
             return self.words(text)
@@ -105,7 +107,7 @@ class Vocabulary(Splitter):
 
     def __init__(self, text: str):
         super().__init__(text)
-        model = self.spec["model"]
+        model = json.loads(text)["model"]
         if model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("byte_fallback"):
             raise ValueError("a byte-level BPE model without prefixes or byte fallback is needed")
         self.ids: dict[str, int] = model["vocab"]
@@ -116,13 +118,12 @@ class Vocabulary(Splitter):
             left, right = (self.ids[x] for x in (pair.split(" ") if isinstance(pair, str) else pair))
             self.ranks[left, right] = rank
             parts[self.ids[self._joined(pair)]] = (left, right)
-        self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
         # Every beginning of a token: its id if it is a token itself, else -1.
         self.openings = {t[:n]: -1 for t in self.ids for n in range(1, len(t))} | self.ids
         self.apart: dict[int, bool] = {}
         # The pieces at a token's right and left edge while it was built, each with the rank of the merge that took it.
-        self.right_edge = {t: tuple(self._edge(t, parts, 1)) for t in self.tokens}
-        self.left_edge = {t: tuple(self._edge(t, parts, 0)) for t in self.tokens}
+        self.right_edge = {t: tuple(self._edge(t, parts, 1)) for t in self.ids.values()}
+        self.left_edge = {t: tuple(self._edge(t, parts, 0)) for t in self.ids.values()}
 
     @staticmethod
     def _joined(pair) -> str:
@@ -226,8 +227,6 @@ class ChunkEncoder:
         return [b"".join(map(get, words)) for words in split]
 
     def _lowered(self, text: bytes) -> bytes:
-        if not self.splitter.lower:
-            return text
         lower = text.lower()
         return text if any(m in lower for m in self.marks) else lower
 
@@ -266,14 +265,14 @@ def id_bytes(lists: pa.ListArray) -> Iterator[bytes]:
         yield values[offsets[i] : offsets[i + 1]].tobytes() if lists[i].is_valid else b""
 
 
-def add_column(df: DataFrame, name: str, kind: str, make) -> DataFrame:
-    """df and a column that `make(batch)` gives as an Arrow array; a column of that name is replaced."""
-    df = df.drop(name)
-    schema = df.select("*", F.lit(None).cast(kind).alias(name)).schema
+def add_columns(df: DataFrame, kinds: dict[str, str], make: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+    """df and the columns that `make(batch)` gives as Arrow arrays; columns of those names are replaced. One Python worker."""
+    df = df.drop(*kinds)
+    schema = df.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, SLICE_BYTES):
-            yield pa.RecordBatch.from_arrays([*batch.columns, make(batch)], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch)], names=[*batch.schema.names, *kinds])
 
     return df.mapInArrow(run, schema)
 
@@ -284,34 +283,60 @@ def read_vocabulary(path: str) -> str:
         return file.read()
 
 
-def with_ids(docs: DataFrame, path: str, text: str = "text", name: str = "ids") -> DataFrame:
-    """docs and the ids of each whole text as array<int>, equal to the tokenizers library's without special tokens added.
+@lru_cache(2)
+def _tokens(text: str) -> dict[int, str]:
+    spec = json.loads(text)
+    return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+
+
+def decode(ids: bytes, tokens: dict[int, str]) -> str:
+    """The text of packed ids: the tokens, special ones included, a blank between two; unknown ids are left out."""
+    return " ".join(t for t in map(tokens.get, np.frombuffer(ids, "<u4").tolist()) if t is not None)
+
+
+def with_ids(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs and the ids of each whole text as array<int>, equal to the tokenizers library's without special tokens added;
+    where `decoded` names a column, also what the ids decode to, made in the same pass.
 
     Null and empty texts and texts of white space have no ids. Special tokens' strings in a text become their ids, as in
-    the library. Rows, repeats included, and other columns are kept; a column called `name` is replaced.
+    the library. Rows, repeats included, and other columns are kept; columns of the added names are replaced.
     """
-    shared, at = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path)), docs.drop(name).columns.index(text)
-    return add_column(docs, name, "array<int>", lambda b: id_lists(_encoder(shared.value).encode(list(texts(b.column(at))))))
+    kinds = {ids: "array<int>"} | ({decoded: "string"} if decoded else {})
+    shared, at = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path)), docs.drop(*kinds).columns.index(text)
 
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        encoded = _encoder(shared.value).encode(list(texts(batch.column(at))))
+        made = [id_lists(encoded)]
+        if decoded:
+            made.append(pa.array([decode(e, _tokens(shared.value)) for e in encoded], pa.string()))
+        return made
 
-def with_decoded(rows: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """rows and the text of each id list, special tokens included: the tokens, a blank between two.
+    return add_columns(docs, kinds, make)
 
-    A null list gives an empty text; ids outside the vocabulary are left out, as in the library.
-    """
-    shared, at = rows.sparkSession.sparkContext.broadcast(read_vocabulary(path)), rows.drop(name).columns.index(ids)
 
-    def make(batch: pa.RecordBatch) -> pa.Array:
-        tokens = vocabulary(shared.value).tokens
-        get, out = tokens.get, []
-        for raw in id_bytes(batch.column(at)):
-            out.append(" ".join(t for t in map(get, np.frombuffer(raw, "<u4").tolist()) if t is not None))
-        return pa.array(out, pa.string())
+def with_decoded(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """rows and the text of each id list. A null list gives an empty text."""
+    shared, at = rows.sparkSession.sparkContext.broadcast(read_vocabulary(path)), rows.drop(decoded).columns.index(ids)
 
-    return add_column(rows, name, "string", make)
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array([decode(e, _tokens(shared.value)) for e in id_bytes(batch.column(at))], pa.string())]
 
+    return add_columns(rows, {decoded: "string"}, make)
 
-def with_digest(rows: DataFrame, ids: str = "ids", name: str = "ids_sha256") -> DataFrame:
-    """rows and the SHA-256 (lower-case hex) of each id list as little-endian unsigned 32-bit integers."""
-    at = rows.drop(name).columns.index(ids)
-    return add_column(rows, name, "string", lambda b: pa.array([sha256(x).hexdigest() for x in id_bytes(b.column(at))]))
+
+def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """docs with n_tokens and the SHA-256 (lower-case hex) of each text's ids, as little-endian unsigned 32-bit integers,
+    and of what these ids decode to: with_ids(), decode and digests in one pass.
+    """
+    kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    shared, at = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path)), docs.drop(*kinds).columns.index(text)
+
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        encoded, tokens = _encoder(shared.value).encode(list(texts(batch.column(at)))), _tokens(shared.value)
+        return [
+            pa.array([len(e) // 4 for e in encoded], pa.int64()),
+            pa.array([sha256(e).hexdigest() for e in encoded], pa.string()),
+            pa.array([sha256(decode(e, tokens).encode()).hexdigest() for e in encoded], pa.string()),
+        ]
+
+    return add_columns(docs, kinds, make)

@@ -30,10 +30,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = bpe.with_decoded(bpe.with_ids(docs, TOKENIZER).drop("text"), TOKENIZER)
-    rows = rows.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("decoded_sha256", F.sha2("decoded", 256))
-    return bpe.with_digest(rows.drop("decoded"), "ids", "ids_sha256").drop("ids")
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER).drop("text")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
