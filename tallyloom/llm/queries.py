@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, mixing, pii, quality, simhash, token_files, toxicity
+from tallyloom.llm import bpe, mixing, pii, quality, simhash, token_files, toxicity, url_filter
 from tallyloom.llm.samples import held_out
 from tallyloom.llm.common import new_folder, table, word_count
 
@@ -33,6 +33,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER).drop("text")
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.replace_entities(docs, count="n_entities")
@@ -61,14 +65,58 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(docs, model).drop("text")
 
 
+# Host case is the only place where lower() could differ from A-Z alone: letters beyond ASCII in a host.
+OP4_SQL = r'''
+WITH RECURSIVE rules(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+p AS (
+  SELECT page_id, coalesce(url, '') AS url, html FROM pages),
+tags AS (
+  SELECT url,
+    regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS canonical,
+    regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) AS refresh
+  FROM p WHERE regexp_matches(html, '(?i)canonical|refresh')),
+targets AS (SELECT url, canonical AS target FROM tags UNION ALL SELECT url, refresh FROM tags),
+resolved AS (
+  SELECT url, CASE
+    WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target
+    WHEN starts_with(target, '//') THEN 'http:' || target
+    WHEN starts_with(target, '/') THEN 'http://' || regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) || target
+    ELSE 'http://' || regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)
+      || coalesce(nullif(regexp_extract(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '(?s)^(.*/)', 1), ''), '/') || target END AS target
+  FROM targets WHERE target <> '' AND regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) <> ''),
+ends AS (SELECT url AS a, target AS b FROM resolved UNION ALL SELECT target, url FROM resolved),
+edges AS (
+  SELECT DISTINCT lower(regexp_extract(a, '(?s)^.*?://([^/?#]*)', 1)) || coalesce(nullif(regexp_extract(a, '(?s)^.*?://[^/?#]*([^?#]*)', 1), ''), '/') || regexp_extract(a, '(?s)^.*?://[^/?#]*[^?#]*([^#]*)', 1) AS a,
+    lower(regexp_extract(b, '(?s)^.*?://([^/?#]*)', 1)) || coalesce(nullif(regexp_extract(b, '(?s)^.*?://[^/?#]*([^?#]*)', 1), ''), '/') || regexp_extract(b, '(?s)^.*?://[^/?#]*[^?#]*([^#]*)', 1) AS b
+  FROM ends WHERE regexp_extract(a, '(?s)^.*?://([^/?#]*)', 1) <> '' AND regexp_extract(b, '(?s)^.*?://([^/?#]*)', 1) <> ''),
+nodes AS (
+  SELECT DISTINCT a AS node, regexp_extract(a, '^[^/?#]*') AS host, regexp_extract(a, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM edges),
+seeds AS (
+  SELECT node, arg_max(r.verdict, length(r.host || r.path)) AS verdict FROM nodes n
+  JOIN rules r ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path) GROUP BY node),
+reach(node, verdict) AS (
+  SELECT node, verdict FROM seeds UNION SELECT e.b, reach.verdict FROM reach JOIN edges e ON e.a = reach.node),
+aliases AS (SELECT node, min(verdict) AS verdict FROM reach GROUP BY node),
+own AS (
+  SELECT page_id, url, lower(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)) AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+    regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*([^#]*)', 1) AS query
+  FROM p)
+SELECT o.page_id, o.host, o.path,
+  (SELECT arg_max(r.host || r.path, length(r.host || r.path)) FROM rules r WHERE (o.host = r.host OR ends_with(o.host, '.' || r.host)) AND starts_with(o.path, r.path)) AS rule,
+  coalesce((SELECT arg_max(r.verdict, length(r.host || r.path)) FROM rules r WHERE (o.host = r.host OR ends_with(o.host, '.' || r.host)) AND starts_with(o.path, r.path)),
+    a.verdict, 'allow') AS verdict
+FROM own o LEFT JOIN aliases a ON o.host <> '' AND a.node = o.host || coalesce(nullif(o.path, ''), '/') || o.query
+'''
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_token_files": op2_token_files,
     "op3_bpe": op3_bpe,
+    "op4_urls": op4_urls,
     "op5_pii": op5_pii,
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_urls": OP4_SQL}
