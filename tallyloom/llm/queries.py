@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, mixing, pii, quality, quality_rules, simhash, token_files, toxicity, url_filter
+from tallyloom.llm import bpe, embeddings, mixing, pii, quality, quality_rules, simhash, token_files, toxicity, url_filter
 from tallyloom.llm.samples import held_out
 from tallyloom.llm.common import new_folder, table, word_count
 
@@ -42,6 +42,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_entities(docs, count="n_entities")
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
@@ -120,6 +124,7 @@ QUERIES: dict[str, Query] = {
     "op3_bpe": op3_bpe,
     "op4_urls": op4_urls,
     "op5_pii": op5_pii,
+    "op6_embeddings": op6_embeddings,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
