@@ -43,6 +43,13 @@ def word_count(text: Column) -> Column:
     return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, SPACES))).cast("long")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of df has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def row_hash(df: DataFrame, *names: str) -> Column:
     """Two 64-bit hashes of the named columns as one text: rows that share it are taken as equal."""
     columns = [F.col(n) for n in names]

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import row_hash, settle
+from tallyloom.llm.common import free_name, row_hash, settle
 
 KEY = "change this key"
 # Draws that keep the format; later ones grow by a few characters, so distinct surrogates never run out.
@@ -269,18 +269,19 @@ def replace_entities(docs: DataFrame, key: str = KEY, text: str = "text", count:
     are kept. Surrogates follow from the key and the set of entities in docs: reruns agree.
     """
     exceptions = settle(redrawn(docs, key, text), "pii-redrawn")
-    marked = docs.withColumn("_matches", matches(F.col(text)))
+    found, row, drawn = (free_name(docs, n) for n in ("_matches", "_row", "_attempts"))
+    marked = docs.withColumn(found, matches(F.col(text)))
     attempts = lambda e: F.lit(0)
     if not exceptions.isEmpty():
         # Rows that hold such an entity get a small map of them; text is only shuffled if there are too many to broadcast.
-        marked = marked.withColumn("_row", row_hash(docs, *docs.columns))
+        marked = marked.withColumn(row, row_hash(docs, *docs.columns))
         name = lambda e: F.concat_ws("\x1f", e["kind"], e["canonical"])
-        held = marked.select("_row", F.explode("_matches").alias("m")).select("_row", entity_of(F.col("m")).alias("e"))
-        held = held.select("_row", "e.kind", "e.canonical").distinct().join(exceptions, ["kind", "canonical"])
+        held = marked.select(row, F.explode(found).alias("m")).select(row, entity_of(F.col("m")).alias("e"))
+        held = held.select(row, "e.kind", "e.canonical").distinct().join(exceptions, ["kind", "canonical"])
         entry = F.struct(F.concat_ws("\x1f", "kind", "canonical").alias("key"), F.col("attempt").alias("value"))
-        held = held.groupBy("_row").agg(F.map_from_entries(F.collect_list(entry)).alias("_attempts"))
-        marked = marked.join(held, "_row", "left")
-        attempts = lambda e: F.coalesce(F.try_element_at(F.col("_attempts"), name(e)), F.lit(0))
+        held = held.groupBy(row).agg(F.map_from_entries(F.collect_list(entry)).alias(drawn))
+        marked = marked.join(held, row, "left")
+        attempts = lambda e: F.coalesce(F.try_element_at(F.col(drawn), name(e)), F.lit(0))
 
     def new(match: Column) -> Column:
         return _let(
@@ -288,10 +289,10 @@ def replace_entities(docs: DataFrame, key: str = KEY, text: str = "text", count:
         )
 
     gaps = F.split(F.col(text), PATTERN, -1)
-    joined = F.zip_with(gaps, F.transform("_matches", new), lambda gap, made: F.concat(gap, F.coalesce(made, F.lit(""))))
-    made = F.when(F.size("_matches") > 0, F.array_join(joined, "")).otherwise(F.col(text))
+    joined = F.zip_with(gaps, F.transform(found, new), lambda gap, made: F.concat(gap, F.coalesce(made, F.lit(""))))
+    made = F.when(F.size(found) > 0, F.array_join(joined, "")).otherwise(F.col(text))
     columns = [made.alias(c) if c == text else F.col(c) for c in docs.columns if c != count]
     if count:
-        kinds = F.filter("_matches", lambda m: kind_of(m).isNotNull())
-        columns.append(F.size(kinds).cast("long").alias(count))
+        kinds = F.filter(found, lambda m: kind_of(m).isNotNull())
+        columns.append(F.coalesce(F.size(kinds), F.lit(0)).cast("long").alias(count))
     return marked.select(*columns)

@@ -107,13 +107,13 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = GRADES, per_grade:
     return fit_matrix(x, y, n_grades)
 
 
-def rate(docs: DataFrame, model: Model, select_grade: int = 1, at_least: float = 0.5) -> DataFrame:
+def rate(docs: DataFrame, model: Model, select_grade: int = 1, at_least: float = 0.5,
+         names: tuple[str, str, str] = ("expected_grade", "tail", "kept")) -> DataFrame:
     """docs with expected_grade, tail (probability of `select_grade` or better) and kept (tail >= at_least).
 
     Whole texts are scored. Texts without words (null, empty) have expected grade and tail 0 and are not kept. Rows,
     repeats included, and other columns stay; columns of the three names are replaced.
     """
-    names = ("expected_grade", "tail", "kept")
     docs = docs.drop(*names)
     added = [F.lit(0.0).alias(names[0]), F.lit(0.0).alias(names[1]), F.lit(True).alias(names[2])]
     schema, at = docs.select("*", *added).schema, docs.columns.index("text")

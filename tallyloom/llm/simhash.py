@@ -117,9 +117,9 @@ def links(fingerprints: DataFrame, crowd: int = CROWD) -> DataFrame:
         found.append(pairs.where(within_budgets(F.col("a"), F.col("b"), F.col("start"))).select("a", "b"))
         if not crowded:
             break
-        unset = (1 << BITS) - 1
-        steps = [(s, _signed(m), _signed(f)) for s, m in masks for f in finer_masks(m & unset)]
-        masks = list(dict.fromkeys((s, f & unset) for s, _, f in steps))
+        # Masks in use: a handful, they follow the depth of the search and not the data.
+        masks = full.select("start", "mask").distinct().collect()
+        steps = [(s, m, _signed(f)) for s, m in masks for f in finer_masks(m & ((1 << BITS) - 1))]
         finer = spark.createDataFrame(steps, "start int, mask long, finer long")
         rows = settle(
             rows.join(full, key, "left_semi").join(finer, ["start", "mask"])
