@@ -129,17 +129,20 @@ def test_mixing_meets_targets(spark):
         assert own[0].source_size == total[s] and own[0].target == pytest.approx(targets[s])
         assert abs(sum(r.copies * r["size"] for r in own) - targets[s]) <= 13
         assert all(0 <= r.copies <= 3 for r in own)
-    assert sorted(map(str, mixing.mix(frame, block=16).collect())) == sorted(map(str, out))
+    again = mixing.mix(frame.repartition(3), block=16).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
 
 
 def test_rounding_is_unbiased(spark):
-    rows = [("a", size, f"d{i}") for i, size in enumerate((1, 2, 3, 4, 5, 6, 7, 8))] + [("b", 24, "x")]
+    # Forty times a source of 36 words with a target of 12, next to one of 24 with a target of 48.
+    rows = [(f"{k:02}a", size, f"d{k}-{i}") for k in range(40) for i, size in enumerate((1, 2, 3, 4, 5, 6, 7, 8))]
+    rows += [(f"{k:02}b", 24, f"x{k}") for k in range(40)]
     frame = spark.createDataFrame(rows, "source string, size long, hash string")
-    seen = Counter()
-    for seed in range(40):
-        seen.update({r.hash: r.copies for r in mixing.mix(frame, weights=(1, 4), seed=seed).collect() if r.source == "a"})
-    share = sum(seen.values()) / (40 * 8)
-    assert share == pytest.approx(1 / 3, abs=0.08)  # target 12 of 36 words
+    out = [r for r in mixing.mix(frame, weights=(1, 4)).collect() if r.source.endswith("a")]
+    assert {r.target for r in out} == {12.0}
+    for size in range(1, 9):
+        assert sum(r.copies for r in out if r["size"] == size) / 40 == pytest.approx(1 / 3, abs=0.25)
+    assert sum(r.copies for r in out) / 320 == pytest.approx(1 / 3, abs=0.08)
 
 
 def test_mixed_documents_repeat_whole_rows(spark):
