@@ -23,7 +23,7 @@ from tallyloom.llm.common import WordCache, sigmoid, slices, texts
 from tallyloom.llm.samples import choose, features_of, held_out, minimise
 
 CONFIRMED, UNLABELLED = 3000, 4000  # at most so many documents of each kind are fitted on
-KEPT_FEATURES = 1024
+KEPT_FEATURES, EVIDENCE = 1024, 8.0
 BEGINNINGS = (4, 5, 6)
 THRESHOLD, SEED = 0.7, 23
 EDGES = b".,;:!?\"'()[]{}<>*-_"
@@ -54,8 +54,14 @@ def fit_sets(confirmed: list[np.ndarray], unlabelled: list[np.ndarray], prior: f
     shares = []
     for documents in (confirmed, unlabelled):
         shares.append(dict(zip(*np.unique(np.concatenate(documents), return_counts=True))))
-    p, u = (lambda f: (shares[0][f] + 0.5) / (len(confirmed) + 1)), (lambda f: (shares[1].get(f, 0) + 0.5) / (len(unlabelled) + 1))
-    apart = sorted(((p(f) * np.log(p(f) / u(f)), int(f)) for f, n in shares[0].items() if n > 2 and p(f) > u(f)), reverse=True)
+    found = np.array(list(shares[0]))
+    n = np.array([shares[0][f] for f in found.tolist()], float)
+    p = (n + 0.5) / (len(confirmed) + 1)
+    u = (np.array([shares[1].get(f, 0) for f in found.tolist()]) + 0.5) / (len(unlabelled) + 1)
+    # Log-likelihood ratio against the count that the unlabelled share lets expect: rare coincidences stay out.
+    expected = u * len(confirmed)
+    clear = (p > u) & (n * np.log(n / expected) - (n - expected) > EVIDENCE)
+    apart = sorted(zip((p * np.log(p / u))[clear].tolist(), found[clear].tolist()), reverse=True)
     chosen = np.array(sorted(f for _, f in apart[:kept]), np.int64)
     if not len(chosen):
         return Model({}, float(np.log(prior / (1 - prior))))
