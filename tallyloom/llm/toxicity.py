@@ -47,7 +47,7 @@ class Model:
 
 
 def fit_sets(confirmed: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, kept: int = KEPT_FEATURES,
-             penalty: float = 1e-4, steps: int = 400) -> Model:
+             penalty: float = 5e-4, steps: int = 400) -> Model:
     """Fit on documents given as arrays of distinct feature ids. Without confirmed documents nothing is toxic."""
     if not confirmed or not unlabelled:
         return Model({}, -4.0)
