@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 import corpus_pipeline
@@ -51,9 +52,12 @@ def test_near_dedup_against_brute_force(stages):
 
 def test_pii_leaves_no_entity(stages):
     docs, made = stages["pii"]
-    entities = lambda df: {r[0] for r in df.selectExpr("explode(m) x").collect()}
-    before = entities(docs.select(pii.matches(docs.text).alias("m")))
-    after = entities(made.select(pii.matches(made.text).alias("m")))
+
+    def entities(df):  # long numbers without a valid check digit are none
+        found = df.select(F.explode(pii.matches(df.text)).alias("m"))
+        return {r.m for r in found.where(pii.kind_of(found.m).isNotNull()).collect()}
+
+    before, after = entities(docs), entities(made)
     assert before and not before & after and len(after) == len(before)
     assert docs.count() == made.count()
 
