@@ -1,0 +1,71 @@
+import random
+
+import numpy as np
+
+import corpus_pipeline
+from tallyloom.llm import near_copies, queries
+from tests.conftest import SF_SMALL
+from tests.llm.test_dedup import roots
+
+
+def planted(draw, groups=25):
+    """Texts of 12 to 400 words with copies that change, add or drop a few words."""
+    texts = []
+    for _ in range(groups):
+        words = [f"w{draw.randrange(5000)}" for _ in range(draw.choice((12, 40, 100, 400)))]
+        texts.append(" ".join(words))
+        for _ in range(draw.randint(1, 5)):
+            copy = list(words)
+            for _ in range(draw.randint(1, max(1, len(words) // 40))):
+                at = draw.randrange(len(copy))
+                copy[at : at + 1] = draw.choice(([], ["new"], [copy[at], "more"]))
+            texts.append(" ".join(copy))
+    return texts + [None, "", " ", "two words", "Two  words", "other"]
+
+
+def brute(texts):
+    def grams(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+    sets = [grams(t) for t in texts]
+    return [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) >= 0.8 * len(a | b)]
+
+
+def test_stage_keeps_one_of_each_group_alike_to_four_fifths(spark):
+    texts = planted(random.Random(7))
+    root = roots(len(texts), brute(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF_SMALL).collect())
+    assert kept == sorted(set(root))
+
+
+def test_stage_on_the_documents_table(spark):
+    docs = queries.table(spark, SF_SMALL, "documents")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    root = roots(len(rows), brute([t for _, t in rows]))
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF_SMALL).collect())
+    assert kept == [rows[i][0] for i in sorted(set(root))]
+
+
+def test_recall_of_candidates_at_the_threshold():
+    draw, met = np.random.default_rng(2), 0
+    for n in (9, 90, 900):
+        for _ in range(300):
+            shared, own = np.split(draw.integers(0, 1 << 63, n, np.uint64), [n * 8 // 9])  # (8 + 0) of (8 + 1 + 1)
+            other = draw.integers(0, 1 << 63, len(own), np.uint64)
+            a, b = (np.unique(np.concatenate([shared, x])) for x in (own, other))
+            assert near_copies.similarity(a, b) == 0.8
+            met += bool(set(near_copies.buckets(a)) & set(near_copies.buckets(b)))
+    assert met >= 899
+
+
+def test_nulls_repeats_and_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(3, text, "a"), (2, text, "b"), (2, text, "b"), (5, None, "c"), (None, "", "d"), (9, "something else here", "e"),
+            (None, "only without an id", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, set_id string")
+    kept = near_copies.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, [docs.collect()[i] for i in (1, 3, 5, 6)]))
+    assert near_copies.keep_one(docs.limit(0)).count() == 0
