@@ -32,16 +32,22 @@ TITLES = {
 }
 TITLE = "(?:" + "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True)) + r")\.? "
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+# A capitalised word with its hyphenated and apostrophe parts, or an initial.
+PART = r"(?:(?:\p{Lu}['’])?\p{Lu}\p{L}+(?:[-‐'’]\p{L}+)*+|\p{Lu}\.(?:-?\p{Lu}\.)*+)"
+PARTICLE = "(?:(?:van|von|vom|zu|zum|zur|de|del|della|der|den|des|di|da|do|dos|du|la|le|ten|ter|bin|al|el) )"
+# To the closing quote, past escaped ones; eight characters with a letter or digit at least.
+QUOTED = r"{q}(?=(?:[^{q}\r\n]|\\{q}){{8}})(?=[^{q}\r\n]*[\p{{L}}\p{{N}}])[^{q}\r\n]*+(?:(?<=\\){q}[^{q}\r\n]*+)*+{q}"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key) ?[=:] ?[\"']?[A-Za-z0-9+/_-]{8,512}[\"']?",
+    "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key) ?[=:] ?"
+    rf"(?:{QUOTED.format(q='\"')}|{QUOTED.format(q=chr(39))}|(?=\S*[\p{{L}}\p{{N}}])\S{{8,}}+)",
     "access": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "phone": r"(?<![A-Za-z0-9+.])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?![A-Za-z0-9])"
+    "phone": r"(?<![A-Za-z0-9+.])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![A-Za-z0-9])"
     r"|(?<![A-Za-z0-9])\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}(?![A-Za-z0-9])",
     "ssn": r"(?<![A-Za-z0-9-])\d{3}-\d{2}-\d{4}(?![A-Za-z0-9-])",
     "card": r"(?<![A-Za-z0-9.-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![A-Za-z0-9])",
     "ip": rf"(?<![A-Za-z0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![A-Za-z0-9]|\.\d)",
-    "person": rf"(?<!\p{{L}}){TITLE}\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    "person": rf"(?<!\p{{L}}){TITLE}{PARTICLE}{{0,3}}{PART}(?: (?!{TITLE}){PARTICLE}{{0,3}}{PART}){{0,30}}",
 }
 PATTERN = "|".join(PATTERNS.values())
 # Characters of which every entity but a person has one. Texts without them and without titles are left alone after a
@@ -103,7 +109,7 @@ def _parts(kind: Column, match: Column) -> Column:
     """head, body, tail: what is kept, replaced, kept."""
     cut = {
         "email": r"^()(.*)(\.[A-Za-z]+)$",
-        "secret": r"^([A-Za-z_-]+ ?[=:] ?[\"']?)(.*?)([\"']?)$",
+        "secret": r"(?s)^([A-Za-z_-]+ ?[=:] ?[\"']?)(.*?)([\"'.,;:)\]}>]*)$",
         "access": r"^(AKIA)(.*)()$",
         "phone": r"^(.*?)((?:\d[^0-9]*){10}|(?:\d[^0-9]*){6,9})()$",
         "card": r"^(\d)(.*)(\d)$",
@@ -160,6 +166,8 @@ def _poured(kind: Column, body: Column, digest: Column) -> Column:
         digit = F.when(leading, 2 + _draw(digest, n, 8)).otherwise(_draw(digest, n, 10)).cast("string")
         lower = _letter("abcdefghijklmnopqrstuvwxyz", _draw(digest, n, letters))
         new = F.when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), lower).when(c.rlike("[A-Z]"), F.upper(lower))
+        # Letters and digits of other scripts, which a secret may hold.
+        new = new.when(c.rlike(r"\p{Lu}"), F.upper(lower)).when(c.rlike(r"\p{L}"), lower).when(c.rlike(r"\p{N}"), digit)
         return F.struct(
             F.concat(state["out"], F.coalesce(new, c)).alias("out"), (n + new.isNotNull().cast("int")).alias("n")
         )
