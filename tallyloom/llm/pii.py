@@ -4,7 +4,7 @@ Entities are found by one pattern. Each is a kind and a canonical form (lower ca
 entity written in different ways or in many documents is one entity. A keyed hash of the canonical form draws a surrogate
 of the same kind and format: letters for letters in their case, digits for digits, hexadecimal for hexadecimal, with
 separators, country codes, top-level domains, key names and titles left in place; card numbers keep a valid check digit,
-addresses stay addresses, names keep gender and script.
+addresses stay addresses, names keep gender and script. A person under several titles has one gender and one surrogate.
 
 Distinct entities keep distinct surrogates, and none becomes an entity of the corpus: over all distinct entities,
 surrogates that collide are drawn again until none does. All others follow from the hash alone, so texts are rewritten
@@ -128,19 +128,28 @@ def _parts(kind: Column, match: Column) -> Column:
 def entity_of(match: Column) -> Column:
     """kind, head, body, tail and the canonical form of a match."""
 
-    def build(kind: Column) -> Column:
-        def name(parts: Column) -> Column:
-            numeric = kind.isin("phone", "ssn")
-            whole = F.when(kind == "card", _digits(match)).when(numeric, _digits(parts["body"]))
-            whole = whole.when(kind.isin("secret", "access"), parts["body"]).otherwise(F.lower(parts["body"]))
-            return F.struct(
-                kind.alias("kind"), parts["head"].alias("head"), parts["body"].alias("body"), parts["tail"].alias("tail"),
-                whole.alias("canonical"),
-            )
+    return _let(kind_of(match), lambda kind: _entity(kind, match))
 
-        return _let(_parts(kind, match), name)
 
-    return _let(kind_of(match), build)
+def _entity(kind: Column, match: Column) -> Column:
+    """entity_of for a match of a known kind."""
+
+    def name(parts: Column) -> Column:
+        numeric = kind.isin("phone", "ssn")
+        whole = F.when(kind == "card", _digits(match)).when(numeric, _digits(parts["body"]))
+        whole = whole.when(kind.isin("secret", "access"), parts["body"]).otherwise(F.lower(parts["body"]))
+        return F.struct(
+            kind.alias("kind"), parts["head"].alias("head"), parts["body"].alias("body"), parts["tail"].alias("tail"),
+            whole.alias("canonical"),
+        )
+
+    return _let(_parts(kind, match), name)
+
+
+def gender_of(head: Column) -> Column:
+    """m, f or n by the title in a person's head; n for all other heads."""
+    title = F.regexp_replace(head, r"\.? $", "")
+    return F.when(title.isin(*TITLES["m"]), "m").when(title.isin(*TITLES["f"]), "f").otherwise("n")
 
 
 def _draw(digest: Column, place: Column | int, choices: Column | int) -> Column:
@@ -180,10 +189,8 @@ def _chosen(values: tuple[str, ...], digest: Column, place: int) -> Column:
     return F.get(F.array(*map(F.lit, values)), _draw(digest, place, len(values)))
 
 
-def _name(head: Column, body: Column, digest: Column) -> Column:
-    """A given name (if the body has two words) and a surname, of the title's gender and the name's script."""
-    title = F.regexp_replace(head, r"\.? $", "")
-    gender = F.when(title.isin(*TITLES["m"]), "m").when(title.isin(*TITLES["f"]), "f").otherwise("n")
+def _name(gender: Column, body: Column, digest: Column) -> Column:
+    """A given name (if the body has two words or more) and a surname, of the gender and the name's script."""
     cyrillic = body.rlike(r"\p{IsCyrillic}")
     of = lambda tables, place: F.when(cyrillic, _chosen(tables["cyrillic"], digest, place)).otherwise(_chosen(tables["latin"], digest, place))
     given = of({script: GIVEN["n", script] for script in SURNAME_STARTS}, 0)
@@ -206,8 +213,11 @@ def _address(body: Column, digest: Column) -> Column:
     return F.concat_ws(".", first, second, octet(2, 256), octet(3, 254, 1))
 
 
-def surrogate(entity: Column, attempt: Column, key: str = KEY) -> Column:
-    """The surrogate text of an entity (see entity_of): keyed by kind, canonical form and attempt alone."""
+def surrogate(entity: Column, attempt: Column, key: str = KEY, gender: Column | None = None) -> Column:
+    """The surrogate text of an entity (see entity_of): keyed by kind, canonical form and attempt alone. A person's gender
+    is that of the title unless given.
+    """
+    gender = gender_of(entity["head"]) if gender is None else gender
     kind = entity["kind"]
     message = F.concat_ws("\x1f", F.lit(key), kind, entity["canonical"], attempt.cast("string"))
     # The key encloses the message twice, as in HMAC.
@@ -216,7 +226,7 @@ def surrogate(entity: Column, attempt: Column, key: str = KEY) -> Column:
     def build(h: Column) -> Column:
         head, body, tail = entity["head"], entity["body"], entity["tail"]
         poured = _let(_poured(kind, body, h), lambda p: _card(head, p).when(kind != "card", F.concat(head, p, tail)))
-        text = F.when(kind == "person", F.concat(head, _name(head, body, h)))
+        text = F.when(kind == "person", F.concat(head, _name(gender, body, h)))
         text = text.when(kind == "ip", _address(body, h)).otherwise(poured)
         longer = F.substring(h, F.lit(100), F.least(attempt - SHORT_DRAWS + 2, F.lit(28)))
         return F.when(attempt < SHORT_DRAWS, text).otherwise(F.concat(text, F.lit("-"), longer))
@@ -239,33 +249,38 @@ def matches(text: Column) -> Column:
 
 
 def redrawn(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """(kind, canonical, attempt): the entities of docs whose first surrogate collides, with the attempt that doesn't.
+    """(kind, canonical, attempt, gender): the entities of docs whose first surrogate collides, with the attempt that
+    doesn't, and the persons seen under titles of different gender. A person's gender is the one that the titles tell; n
+    if they tell none or both.
 
     Works on the distinct entities of all texts. A round draws for the entities that are open; of those that draw the same
     the one with the smallest canonical form keeps it, unless an earlier round gave it away or it is an entity itself.
     """
     found = docs.select(F.explode(matches(F.col(text))).alias("m")).select(entity_of(F.col("m")).alias("e"))
     found = found.where("e.kind is not null").groupBy("e.kind", "e.canonical")
-    entities = settle(found.agg(F.min("e").alias("e")), "pii-entities")
+    told = F.array_sort(F.collect_set(gender_of(F.col("e.head"))))
+    entities = found.agg(F.min("e").alias("e"), told.alias("told"))
+    either = F.array_remove("told", "n")
+    gender = F.when(F.size(either) == 1, either[0]).otherwise("n")
+    entities = settle(entities.select("kind", "canonical", "e", gender.alias("gender"), (F.size("told") > 1).alias("mixed")), "pii-entities")
     taken = entities.select("kind", F.col("canonical").alias("made"))
     open_ones, attempt, more = entities, 0, []
     while True:
-        drawn = settle(open_ones.withColumn("made", surrogate(F.col("e"), F.lit(attempt), key)), "pii-drawn")
+        drawn = settle(open_ones.withColumn("made", surrogate(F.col("e"), F.lit(attempt), key, F.col("gender"))), "pii-drawn")
         # Compared in canonical form: heads and separators don't make a surrogate distinct.
-        drawn = drawn.withColumn("again", entity_of(F.col("made"))["canonical"])
-        drawn = drawn.withColumn("made", F.coalesce("again", "made")).drop("again")
+        drawn = drawn.withColumn("made", _entity(F.col("kind"), F.col("made"))["canonical"])
         free = drawn.join(taken, ["kind", "made"], "left_anti")
         first = free.groupBy("kind", "made").agg(F.min("canonical").alias("canonical"))
         kept = settle(first.withColumn("attempt", F.lit(attempt)), "pii-kept")
         taken = taken.unionByName(kept.select("kind", "made"))
-        if attempt:
-            more.append(kept.select("kind", "canonical", "attempt"))
+        known = entities.where(F.lit(attempt > 0) | F.col("mixed")).select("kind", "canonical", "gender")
+        more.append(kept.join(known, ["kind", "canonical"]).select("kind", "canonical", "attempt", "gender"))
         open_ones = settle(open_ones.join(kept, ["kind", "canonical"], "left_anti"), "pii-open")
         if open_ones.isEmpty():
             break
         attempt += 1
-    result = kept.select("kind", "canonical", "attempt").limit(0)
-    for part in more:
+    result = more[0]
+    for part in more[1:]:
         result = result.unionByName(part)
     return result
 
@@ -279,22 +294,23 @@ def replace_entities(docs: DataFrame, key: str = KEY, text: str = "text", count:
     exceptions = settle(redrawn(docs, key, text), "pii-redrawn")
     found, row, drawn = (free_name(docs, n) for n in ("_matches", "_row", "_attempts"))
     marked = docs.withColumn(found, matches(F.col(text)))
-    attempts = lambda e: F.lit(0)
+    made_of = lambda e: surrogate(e, F.lit(0), key)
     if not exceptions.isEmpty():
         # Rows that hold such an entity get a small map of them; text is only shuffled if there are too many to broadcast.
         marked = marked.withColumn(row, row_hash(docs, *docs.columns))
         name = lambda e: F.concat_ws("\x1f", e["kind"], e["canonical"])
         held = marked.select(row, F.explode(found).alias("m")).select(row, entity_of(F.col("m")).alias("e"))
         held = held.select(row, "e.kind", "e.canonical").distinct().join(exceptions, ["kind", "canonical"])
-        entry = F.struct(F.concat_ws("\x1f", "kind", "canonical").alias("key"), F.col("attempt").alias("value"))
+        entry = F.struct(F.concat_ws("\x1f", "kind", "canonical").alias("key"), F.struct("attempt", "gender").alias("value"))
         held = held.groupBy(row).agg(F.map_from_entries(F.collect_list(entry)).alias(drawn))
         marked = marked.join(held, row, "left")
-        attempts = lambda e: F.coalesce(F.try_element_at(F.col(drawn), name(e)), F.lit(0))
+
+        def made_of(e: Column) -> Column:
+            own = lambda d: surrogate(e, F.coalesce(d["attempt"], F.lit(0)), key, F.coalesce(d["gender"], gender_of(e["head"])))
+            return _let(F.try_element_at(F.col(drawn), name(e)), own)
 
     def new(match: Column) -> Column:
-        return _let(
-            entity_of(match), lambda e: F.when(e["kind"].isNull(), match).otherwise(surrogate(e, attempts(e), key))
-        )
+        return _let(entity_of(match), lambda e: F.when(e["kind"].isNull(), match).otherwise(made_of(e)))
 
     gaps = F.split(F.col(text), PATTERN, -1)
     joined = F.zip_with(gaps, F.transform(found, new), lambda gap, made: F.concat(gap, F.coalesce(made, F.lit(""))))

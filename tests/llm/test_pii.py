@@ -1,3 +1,4 @@
+from tallyloom.llm import pii
 from tests.llm.test_text import replaced
 
 # (text, what must be gone)
@@ -31,3 +32,19 @@ def test_neighbours_of_an_entity_stay(spark):
     first, second = out[0].removesuffix(" and more").split(", then ")
     assert first == second and counts == [2, 0, 2]
     assert out[1] == texts[1] and " Mr " in out[2] and out[2].endswith(" met")
+
+
+def test_one_name_under_two_titles_is_one_person(spark):
+    names = [f"{a}{chr(97 + i % 26)} {b}{chr(97 + i // 26)}" for i in range(26 * 8) for a, b in (("Anna", "Miller"), ("Bert", "Carl"), ("Cleo", "Dent"))]
+    rows = [(n, t) for i, n in enumerate(names) for t in (("Dr", "Mrs"), ("Prof", "Mr"), ("Mr", "Mrs"), ("Dr",), ("Ms",))[i % 5]]
+    out, counts = replaced(spark, [f"{t} {n}" for n, t in rows])
+    assert set(counts) == {1}
+    made = {}
+    for (name, title), text in zip(rows, out):
+        head, _, new = text.partition(" ")
+        assert head == title
+        made.setdefault(name, set()).add(new)
+    assert all(len(found) == 1 for found in made.values())
+    new = [min(found) for found in made.values()]
+    assert len(set(new)) == len(new) == len(names) and not set(new) & set(names)
+    assert min(made[names[0]]).split()[0] in pii.GIVEN["f", "latin"] and min(made[names[1]]).split()[0] in pii.GIVEN["m", "latin"]
