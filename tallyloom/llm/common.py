@@ -7,10 +7,12 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # A word is a run of anything but the six ASCII white-space characters; bytes.split() cuts exactly there.
@@ -21,13 +23,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tallyloom-")
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A folder of its own below spark.checkpoint.dir. Where no session sets that (tests, a notebook), a temporary one is
-    set first; clusters name their shared folder.
+    """A folder of its own below spark.checkpoint.dir, which names a cluster's shared folder. A session that runs in one
+    process may do without: it gets a temporary folder. On a cluster executors would each write to their own disk there,
+    so that is an error.
     """
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tallyloom-"))
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/tallyloom/{label}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local_folder()
+    return f"{base.rstrip('/')}/tallyloom/{label}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -39,7 +50,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts 0. Native."""
-    inner = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACES}|{SPACES}$", "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
     return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, SPACES))).cast("long")
 
 
@@ -56,6 +67,31 @@ def row_hash(df: DataFrame, *names: str) -> Column:
     return F.concat(F.hex(F.xxhash64(*columns)), F.lit("-"), F.hex(F.xxhash64(F.lit(7), *columns)))
 
 
+def ranked(rows: DataFrame, group: str, order: list[str], label: str) -> DataFrame:
+    """rows with `rank` (from 0 within each group, by the order columns) and `total` (rows of the group), both long.
+
+    Rows are dealt into ranges of (group, order), so a group of any size is spread over tasks; a range counts its own rows
+    and the counts of the ranges before are added. Rows that tie in all order columns are told apart by where they lie in a
+    written table, so repeats don't pile up in one range and every later job sees the same ranks. Nulls come first.
+    """
+    tie, at, part, first, before, other = (free_name(rows, n) for n in ("_tie", "_at", "_part", "_first", "_before", "_group"))
+    stored = settle(rows.withColumn(tie, F.monotonically_increasing_id()), label)
+    keys = [group, *order, tie]
+    dealt = stored.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(tie)
+    # The id is the partition's number in the high 31 bits and the row's place in it in the low 33.
+    dealt = dealt.withColumn(at, F.monotonically_increasing_id()).withColumn(part, F.shiftright(at, 33))
+    dealt = settle(dealt, label)
+    runs = dealt.groupBy(group, part).agg(F.count("*").alias("total"), F.min(at).alias(first))
+    own = W.partitionBy(group)
+    runs = runs.select(
+        F.col(group).alias(other), F.col(part).alias(f"{part}{other}"), first,
+        (F.sum("total").over(own.orderBy(part)) - F.col("total")).alias(before), F.sum("total").over(own).alias("total"),
+    )
+    same = F.col(group).eqNullSafe(F.col(other)) & (F.col(part) == F.col(f"{part}{other}"))
+    placed = dealt.join(runs, same).withColumn("rank", F.col(before) + F.col(at) - F.col(first))
+    return placed.select(*rows.columns, "rank", "total")
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     """The UTF-8 bytes of a text column, one by one; null is empty."""
     for value in column.cast(pa.large_binary()):
