@@ -27,7 +27,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, TOKENIZER)
-    rows = token_files.with_starts(token_files.with_crc(token_files.read_tokens(spark, path)))
+    written = token_files.read_tokens(spark, path)
+    rows = token_files.with_starts(token_files.with_crc(written), lengths=written)
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -113,12 +113,13 @@ def read_tokens(spark: SparkSession, path: str, first: int | None = None, last:
     return rows if last is None else rows.where(F.col("doc_id") <= last)
 
 
-def with_starts(rows: DataFrame) -> DataFrame:
+def with_starts(rows: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
     """Rows (shard, place, n_tokens, more) and `start`: how many ids all documents before have.
 
-    Sums per shard go ahead (a row per written file), then each shard numbers its own documents; ids aren't read.
+    Sums per shard go ahead (a row per written file), then each shard numbers its own documents; ids aren't read. Where rows
+    come out of work that shall not be done twice, `lengths` gives the same shards and n_tokens.
     """
-    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
+    totals = (rows if lengths is None else lengths).groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("shard", (F.sum("total").over(W.orderBy("shard")) - F.col("total")).alias("before"))
     own = F.sum("n_tokens").over(W.partitionBy("shard").orderBy("place")) - F.col("n_tokens")
     return rows.withColumn("own", own).join(before, "shard").withColumn("start", F.col("own") + F.col("before")).drop("own", "before")
