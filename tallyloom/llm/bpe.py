@@ -20,6 +20,7 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -28,7 +29,7 @@ from tallyloom.llm.common import slices, texts
 
 CACHE_CHUNKS = 500_000
 PAIRS = 250_000
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 NEVER = 1 << 40
 
 
@@ -200,7 +201,7 @@ class Vocabulary(Splitter):
 
 
 class ChunkEncoder:
-    """Encodes UTF-8 texts chunk by chunk; a chunk stands between ASCII white space. `encode_words` gives the ids of words.
+    """Encodes texts chunk by chunk; a chunk stands between ASCII white space. `encode_words` gives the ids of words.
 
     Known chunks are kept in two generations: when one is full it replaces the older one, and what recurs moves up. So
     memory is bounded whatever the corpus, and frequent chunks stay.
@@ -208,27 +209,36 @@ class ChunkEncoder:
 
     def __init__(self, splitter: Splitter, encode_words: Callable[[set[str]], dict[str, bytes]], limit: int = CACHE_CHUNKS):
         self.splitter, self.encode_words, self.limit = splitter, encode_words, limit // 2
-        self.marks = [m.lower() for m in splitter.marks]
+        self.marks = list(splitter.special)
         self.recent: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def encode(self, batch: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def encode(self, column: pa.Array) -> pa.ListArray:
+        """The ids of each text of a column as array<int>; null is empty. Python sees the distinct chunks alone."""
+        chunks = pc.ascii_split_whitespace(self._lowered(pc.fill_null(column.cast(pa.string()), "")))
+        distinct = chunks.flatten().dictionary_encode()
+        known = self._known(distinct.dictionary.cast(pa.binary()).to_pylist())
+        sizes = np.array([len(k) // 4 for k in known], np.int64)
+        ids = _lists(np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(known), "<i4"))
+        ends = np.zeros(len(distinct) + 1, np.int64)
+        np.cumsum(sizes[distinct.indices.to_numpy()], out=ends[1:])
+        return pa.ListArray.from_arrays(pa.array(ends[chunks.offsets.to_numpy()].astype(np.int32)), ids.take(distinct.indices).flatten())
+
+    def _lowered(self, column: pa.Array) -> pa.Array:
         # Upper case would cost a second entry; but special tokens are matched before texts are lower-cased.
-        split = [self._lowered(t).split() for t in batch]
-        distinct = set().union(*split)
-        new = distinct.difference(self.recent)
+        lower = pc.ascii_lower(column)
+        for mark in self.marks:
+            lower = pc.if_else(pc.match_substring(column, mark, ignore_case=True), column, lower)
+        return lower
+
+    def _known(self, distinct: list[bytes]) -> list[bytes]:
+        new = {c for c in distinct if c not in self.recent}
         if len(self.recent) + len(new) > self.limit:
-            self.older, self.recent, new = self.recent, {}, distinct
+            self.older, self.recent, new = self.recent, {}, set(distinct)
         again = new.intersection(self.older)
         self.recent.update((c, self.older[c]) for c in again)
         self.recent.update(self._learn(new - again))
-        get = self.recent.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-    def _lowered(self, text: bytes) -> bytes:
-        lower = text.lower()
-        return text if any(m in lower for m in self.marks) else lower
+        return [self.recent[c] for c in distinct]
 
     def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
         pieces = {c: self.splitter.pieces(c) for c in chunks}
@@ -251,18 +261,30 @@ def _encoder(text: str) -> ChunkEncoder:
     return ChunkEncoder(vocabulary(text), vocabulary(text).encode_words)
 
 
-def id_lists(encoded: list[bytes]) -> pa.ListArray:
-    offsets = np.zeros(len(encoded) + 1, np.int32)
-    np.cumsum([len(e) // 4 for e in encoded], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), "<i4"), pa.int32()))
+def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, pa.int32()))
+
+
+def id_lists(encoded: list[list[int]]) -> pa.ListArray:
+    return pa.array(encoded, pa.list_(pa.int32()))
+
+
+def ended(lists: pa.ListArray, end_id: int) -> pa.ListArray:
+    """Every list with one more id at its end."""
+    offsets = lists.offsets.to_numpy()
+    return _lists(offsets + np.arange(len(offsets)), np.insert(lists.values.to_numpy(), offsets[1:], end_id))
+
+
+def sizes_of(lists: pa.ListArray) -> pa.Array:
+    return pa.array(np.diff(lists.offsets.to_numpy()), pa.int64())
 
 
 def id_bytes(lists: pa.ListArray) -> Iterator[bytes]:
     """Each row's ids as little-endian 32-bit integers; a null list is empty."""
-    values = lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
-    offsets = lists.offsets.to_numpy()
-    for i in range(len(lists)):
-        yield values[offsets[i] : offsets[i + 1]].tobytes() if lists[i].is_valid else b""
+    values, offsets = lists.values.to_numpy().astype("<i4", copy=False), lists.offsets.to_numpy().tolist()
+    valid = lists.is_valid().to_pylist() if lists.null_count else None
+    for i, (start, end) in enumerate(zip(offsets, offsets[1:])):
+        yield values[start:end].tobytes() if valid is None or valid[i] else b""
 
 
 def add_columns(df: DataFrame, kinds: dict[str, str], make: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
@@ -284,14 +306,26 @@ def read_vocabulary(path: str) -> str:
 
 
 @lru_cache(2)
-def _tokens(text: str) -> dict[int, str]:
+def _tokens(text: str) -> pa.Array:
+    """Tokens by id; null where there is none."""
     spec = json.loads(text)
-    return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    named = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return pa.array([named.get(i) for i in range(max(named) + 1)], pa.string())
 
 
-def decode(ids: bytes, tokens: dict[int, str]) -> str:
-    """The text of packed ids: the tokens, special ones included, a blank between two; unknown ids are left out."""
-    return " ".join(t for t in map(tokens.get, np.frombuffer(ids, "<u4").tolist()) if t is not None)
+def decode(lists: pa.ListArray, tokens: pa.Array) -> pa.Array:
+    """The text of each list: the tokens, special ones included, a blank between two; unknown ids are left out. A null list
+    gives an empty text.
+    """
+    lists = pc.fill_null(lists, pa.scalar([], lists.type)) if lists.null_count else lists
+    offsets, ids = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
+    ids, offsets = ids[offsets[0] : offsets[-1]], offsets - offsets[0]
+    known = (ids >= 0) & (ids < len(tokens))
+    words = tokens.take(pa.array(np.where(known, ids, 0), mask=~known))
+    if words.null_count:
+        there = words.is_valid().to_numpy(zero_copy_only=False)
+        offsets, words = np.concatenate([[0], np.cumsum(there)])[offsets], words.drop_null()
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), words), " ")
 
 
 def with_ids(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
@@ -305,11 +339,8 @@ def with_ids(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", d
     shared, at = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path)), docs.drop(*kinds).columns.index(text)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        encoded = _encoder(shared.value).encode(list(texts(batch.column(at))))
-        made = [id_lists(encoded)]
-        if decoded:
-            made.append(pa.array([decode(e, _tokens(shared.value)) for e in encoded], pa.string()))
-        return made
+        encoded = _encoder(shared.value).encode(batch.column(at))
+        return [encoded, decode(encoded, _tokens(shared.value))] if decoded else [encoded]
 
     return add_columns(docs, kinds, make)
 
@@ -319,7 +350,7 @@ def with_decoded(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "d
     shared, at = rows.sparkSession.sparkContext.broadcast(read_vocabulary(path)), rows.drop(decoded).columns.index(ids)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        return [pa.array([decode(e, _tokens(shared.value)) for e in id_bytes(batch.column(at))], pa.string())]
+        return [decode(batch.column(at).cast(pa.list_(pa.int32())), _tokens(shared.value))]
 
     return add_columns(rows, {decoded: "string"}, make)
 
@@ -332,11 +363,8 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     shared, at = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path)), docs.drop(*kinds).columns.index(text)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        encoded, tokens = _encoder(shared.value).encode(list(texts(batch.column(at)))), _tokens(shared.value)
-        return [
-            pa.array([len(e) // 4 for e in encoded], pa.int64()),
-            pa.array([sha256(e).hexdigest() for e in encoded], pa.string()),
-            pa.array([sha256(decode(e, tokens).encode()).hexdigest() for e in encoded], pa.string()),
-        ]
+        encoded = _encoder(shared.value).encode(batch.column(at))
+        digests = lambda values: pa.array([sha256(v).hexdigest() for v in values], pa.string())
+        return [sizes_of(encoded), digests(id_bytes(encoded)), digests(texts(decode(encoded, _tokens(shared.value))))]
 
     return add_columns(docs, kinds, make)

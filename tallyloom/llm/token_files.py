@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyloom.llm.bpe import (
-    CACHE_CHUNKS, SLICE_BYTES, ChunkEncoder, Splitter, cuts_at_space, id_bytes, id_lists, read_vocabulary,
+    CACHE_CHUNKS, SLICE_BYTES, ChunkEncoder, Splitter, cuts_at_space, ended, id_bytes, id_lists, read_vocabulary, sizes_of,
 )
-from tallyloom.llm.common import slices, texts
+from tallyloom.llm.common import slices
 
 END_ID = 1
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 64 << 10
@@ -46,12 +46,12 @@ class LibraryEncoder:
         self.library.no_padding()
         self.chunks = ChunkEncoder(Splitter(text), self._words, limit) if cuts_at_space(json.loads(text)) else None
 
-    def encode(self, batch: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def encode(self, column: pa.Array) -> pa.ListArray:
+        """The ids of each text of a column as array<int>; null is empty."""
         if self.chunks:
-            return self.chunks.encode(batch)
-        encoded = self.library.encode_batch_fast([t.decode() for t in batch], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+            return self.chunks.encode(column)
+        whole = [t or "" for t in column.to_pylist()]
+        return id_lists([e.ids for e in self.library.encode_batch_fast(whole, add_special_tokens=False)])
 
     def _words(self, words: set[str]) -> dict[str, bytes]:
         tokenize = self.library.model.tokenize
@@ -76,16 +76,15 @@ def write_tokens(
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding {encoding!r}")
     spec = docs.sparkSession.sparkContext.broadcast(read_vocabulary(tokenizer))
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, place, shard = _encoder(spec.value), 0, TaskContext.get().partitionId()
         for batch in slices(batches, SLICE_BYTES):
-            n, encoded = batch.num_rows, [e + end for e in encoder.encode(list(texts(batch.column(1))))]
-            lists = id_lists(encoded)
+            n, lists = batch.num_rows, encoder.encode(batch.column(1))
+            lists = lists if end_id is None else ended(lists, end_id)
             columns = [
                 batch.column(0), pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(place, place + n, dtype=np.int64)),
-                pa.array([len(e) // 4 for e in encoded], pa.int64()), lists,
+                sizes_of(lists), lists,
             ]
             place += n
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shard", "place", "n_tokens", "ids"])
