@@ -32,13 +32,26 @@ TITLES = {
 }
 TITLE = "(?:" + "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True)) + r")\.? "
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-# A capitalised word with its hyphenated and apostrophe parts, or an initial.
-PART = r"(?:(?:\p{Lu}['’])?\p{Lu}\p{L}+(?:[-‐'’]\p{L}+)*+|\p{Lu}\.(?:-?\p{Lu}\.)*+)"
+# A capitalised word with its hyphenated and apostrophe parts, an initial, or letters of a script without case. Whatever
+# repeats is a single class or possessive, so that matching takes neither a stack nor another try.
+PART = r"(?:(?:\p{Lu}['’])?\p{Lu}\p{L}+(?:[-‐'’]\p{L}+)*+|\p{Lu}\.(?:-?\p{Lu}\.)*+|\p{Lo}[\p{Lo}\p{M}]*+)"
 PARTICLE = "(?:(?:van|von|vom|zu|zum|zur|de|del|della|der|den|des|di|da|do|dos|du|la|le|ten|ter|bin|al|el) )"
+# Words that are written with a capital in headings and begin no part of a name: a name ends before them.
+HEADING = (
+    "A An And As At But By For From If In Into Is Of On Or The To With Was Were Who Has Had Have Will Would Can Could Not No "
+    "His Her Its Our Their This That These Those Are Be Been After Before About Against Between During Over Under Until Upon "
+    "Annual Report Reports Board Show Meeting Minutes Letter Letters Story Interview Speech Statement Review Summary News Update "
+    "Office Department Committee Company Council Court Hospital School University Institute Church Center Centre Hall Street "
+    "Road Avenue Square Chapter Section Part Page Book Film Song Album Series Award Prize Act Bill Case Law Rule Plan Project "
+    "Said Says Met Meets Visits Visited Wins Won Opens Opened Joins Joined Leaves Left Takes Took Gets Got Makes Made Goes Went "
+    "Und Oder Der Die Das Ein Eine Im Am Bei Mit Nach Zu Zur Zum Ist War Wird Hat Le La Les Et Ou Un Une Du Des Est Avec Dans "
+    "Pour Sur El Los Las Y O En Es Con Por Para"
+).split()
+END = rf"(?:{'|'.join(HEADING)})(?!['’\p{{L}}-])"
 # To the closing quote, past escaped ones; eight characters with a letter or digit at least.
 QUOTED = r"{q}(?=(?:[^{q}\r\n]|\\{q}){{8}})(?=[^{q}\r\n]*[\p{{L}}\p{{N}}])[^{q}\r\n]*+(?:(?<=\\){q}[^{q}\r\n]*+)*+{q}"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}+(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key) ?[=:] ?"
     rf"(?:{QUOTED.format(q='\"')}|{QUOTED.format(q=chr(39))}|(?=\S*[\p{{L}}\p{{N}}])\S{{8,}}+)",
     "access": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
@@ -47,14 +60,14 @@ PATTERNS = {
     "ssn": r"(?<![A-Za-z0-9-])\d{3}-\d{2}-\d{4}(?![A-Za-z0-9-])",
     "card": r"(?<![A-Za-z0-9.-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![A-Za-z0-9])",
     "ip": rf"(?<![A-Za-z0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![A-Za-z0-9]|\.\d)",
-    "person": rf"(?<!\p{{L}}){TITLE}{PARTICLE}{{0,3}}{PART}(?: (?!{TITLE}){PARTICLE}{{0,3}}{PART}){{0,30}}",
+    "person": rf"(?<!\p{{L}}){TITLE}{PARTICLE}*+{PART}(?: (?!{TITLE}|{END}){PARTICLE}*+{PART})*+",
 }
 PATTERN = "|".join(PATTERNS.values())
 # Characters of which every entity but a person has one. Texts without them and without titles are left alone after a
 # quick look.
 HINT = "[0-9@=:]"
 
-# Given names by gender and script; surnames are two parts.
+# Given names by gender and script, and surnames: in alphabets two parts, in the others one before the given name.
 GIVEN = {
     ("m", "latin"): ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo", "Jonas", "Leo", "Martin", "Oscar", "Victor"),
     ("f", "latin"): ("Alice", "Bella", "Clara", "Diana", "Emma", "Flora", "Helena", "Julia", "Laura", "Maria", "Olivia", "Vera"),
@@ -62,15 +75,30 @@ GIVEN = {
     ("m", "cyrillic"): ("Алексей", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Максим", "Олег", "Павел", "Юрий"),
     ("f", "cyrillic"): ("Алла", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Ирина", "Лидия", "Мария", "Нина", "Ольга", "Яна"),
     ("n", "cyrillic"): ("Валя", "Женя", "Саша", "Паша", "Слава", "Тоня"),
+    ("m", "greek"): ("Ανδρέας", "Βασίλης", "Δημήτρης", "Ηλίας", "Κώστας", "Λεωνίδας", "Μάριος", "Νίκος", "Πέτρος", "Σπύρος"),
+    ("f", "greek"): ("Άννα", "Βασιλική", "Δήμητρα", "Ελένη", "Ζωή", "Κατερίνα", "Μαρία", "Νίκη", "Σοφία", "Χριστίνα"),
+    ("n", "greek"): ("Άλεξ", "Γαβριέλ", "Ραφαέλ", "Σταμ"),
+    ("m", "han"): ("伟", "强", "军", "勇", "杰", "涛", "明", "辉", "刚", "峰", "鹏", "磊"),
+    ("f", "han"): ("芳", "娜", "敏", "静", "丽", "艳", "娟", "霞", "燕", "玲", "婷", "雪"),
+    ("n", "han"): ("文", "华", "平", "林", "云", "宁", "安", "晨", "清", "新", "悦", "然"),
+    ("m", "hangul"): ("민준", "서준", "도윤", "예준", "시우", "주원", "하준", "지호", "준서", "건우"),
+    ("f", "hangul"): ("서연", "서윤", "지우", "서현", "하은", "하윤", "민서", "지유", "윤서", "채원"),
+    ("n", "hangul"): ("지원", "수민", "현수", "은우", "재희", "시현", "유진", "다온"),
 }
 SURNAME_STARTS = {
     "latin": ("Ash", "Beck", "Corn", "Dal", "East", "Fair", "Green", "Hart", "Kirk", "Lang", "Mar", "North", "Oak", "Red", "Stan", "West"),
     "cyrillic": ("Бел", "Вол", "Гор", "Дуб", "Зим", "Кор", "Лес", "Мор", "Нов", "Остр", "Пол", "Реч", "Сад", "Тих", "Чар", "Яр"),
+    "greek": ("Αλεξ", "Βασιλ", "Γεωργ", "Δημητρ", "Ελευθερ", "Θεοδωρ", "Ιωανν", "Καραμαν", "Λαμπρ", "Μανωλ", "Νικολ", "Πετρ", "Σταυρ", "Φωτ"),
+    "han": ("王", "李", "张", "刘", "陈", "杨", "赵", "黄", "周", "吴", "徐", "孙", "胡", "朱", "高", "林"),
+    "hangul": ("김", "이", "박", "최", "정", "강", "조", "윤", "장", "임", "한", "오", "서", "신", "권", "황"),
 }
 SURNAME_ENDS = {
     "latin": ("bach", "berg", "bury", "by", "dale", "field", "ford", "ham", "land", "ley", "man", "more", "son", "ton", "well", "wood"),
     "cyrillic": ("аев", "анов", "арин", "енин", "еров", "иков", "илов", "инин", "овин", "онов", "оров", "очкин", "унин", "уров", "ушин", "яков"),
+    "greek": ("άκης", "άδης", "ίδης", "άρης", "έλης", "ώτης", "ίτσης", "άτης"),
 }
+SCRIPTS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "han": r"\p{IsHan}", "hangul": r"\p{IsHangul}"}
+FEMALE_ENDS = {"cyrillic": ("$", "а"), "greek": ("ς$", "")}  # how a woman's surname differs
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -109,7 +137,7 @@ def _parts(kind: Column, match: Column) -> Column:
     """head, body, tail: what is kept, replaced, kept."""
     cut = {
         "email": r"^()(.*)(\.[A-Za-z]+)$",
-        "secret": r"(?s)^([A-Za-z_-]+ ?[=:] ?[\"']?)(.*?)([\"'.,;:)\]}>]*)$",
+        "secret": r"(?s)^([A-Za-z_-]+ ?[=:] ?[\"']?)(.*)()$",
         "access": r"^(AKIA)(.*)()$",
         "phone": r"^(.*?)((?:\d[^0-9]*){10}|(?:\d[^0-9]*){6,9})()$",
         "card": r"^(\d)(.*)(\d)$",
@@ -122,7 +150,13 @@ def _parts(kind: Column, match: Column) -> Column:
             part = F.when(kind == name, F.regexp_extract(match, pattern, n)).otherwise(part)
         return part
 
-    return F.struct(group(1).alias("head"), group(2).alias("body"), group(3).alias("tail"))
+    def parts(whole: Column) -> Column:
+        # Punctuation behind a secret stays.
+        body = F.when(kind == "secret", F.rtrim(whole, F.lit("\"'.,;:)]}>"))).otherwise(whole)
+        tail = F.when(kind == "secret", F.substr(whole, F.char_length(body) + 1)).otherwise(group(3))
+        return F.struct(group(1).alias("head"), body.alias("body"), tail.alias("tail"))
+
+    return _let(group(2), parts)
 
 
 def entity_of(match: Column) -> Column:
@@ -164,41 +198,62 @@ def _letter(alphabet: str, at: Column) -> Column:
 
 
 def _poured(kind: Column, body: Column, digest: Column) -> Column:
-    """The body with its letters and digits replaced in turn."""
-    hexadecimal = (kind == "secret") & body.rlike("^[0-9a-fA-F]+$")
-    letters = F.when(hexadecimal, 6).otherwise(26)
+    """The body with its letters and digits replaced. Numbers are written in several ways, so their digits are counted; all
+    else draws by the place in the body, which takes time in proportion to it.
+    """
+    counted = kind.isin("phone", "ssn", "card")
 
-    def replace(state: Column, c: Column) -> Column:
-        n = state["n"]
+    def number(state: Column, c: Column) -> Column:
+        n, is_digit = state["n"], c.between("0", "9")
         # Area and exchange codes start at 2.
         leading = (kind == "phone") & n.isin(0, 3)
         digit = F.when(leading, 2 + _draw(digest, n, 8)).otherwise(_draw(digest, n, 10)).cast("string")
-        lower = _letter("abcdefghijklmnopqrstuvwxyz", _draw(digest, n, letters))
-        new = F.when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), lower).when(c.rlike("[A-Z]"), F.upper(lower))
-        # Letters and digits of other scripts, which a secret may hold.
-        new = new.when(c.rlike(r"\p{Lu}"), F.upper(lower)).when(c.rlike(r"\p{L}"), lower).when(c.rlike(r"\p{N}"), digit)
-        return F.struct(
-            F.concat(state["out"], F.coalesce(new, c)).alias("out"), (n + new.isNotNull().cast("int")).alias("n")
-        )
+        return F.struct(F.concat(state["out"], F.when(is_digit, digit).otherwise(c)).alias("out"), (n + is_digit.cast("int")).alias("n"))
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
-    return F.aggregate(F.split(body, ""), start, replace, lambda state: state["out"])
+    numbers = F.aggregate(F.split(body, ""), start, number, lambda state: state["out"])
+
+    def letters(choices: Column) -> Column:
+        def replaced(c: Column, n: Column) -> Column:
+            digit = _draw(digest, n, 10).cast("string")
+            lower = _letter("abcdefghijklmnopqrstuvwxyz", _draw(digest, n, choices))
+            new = F.when(c.between("0", "9"), digit).when(c.between("a", "z"), lower).when(c.between("A", "Z"), F.upper(lower))
+            # Letters and digits of other scripts, which a secret may hold.
+            other = F.when(c.rlike(r"\p{Lu}"), F.upper(lower)).when(c.rlike(r"\p{L}"), lower).when(c.rlike(r"\p{N}"), digit).otherwise(c)
+            return F.when(c <= "\x7f", F.coalesce(new, c)).otherwise(other)
 
+        return F.array_join(F.transform(F.split(body, ""), replaced), "")
 
-def _chosen(values: tuple[str, ...], digest: Column, place: int) -> Column:
-    return F.get(F.array(*map(F.lit, values)), _draw(digest, place, len(values)))
+    hexadecimal = (kind == "secret") & body.rlike("^[0-9a-fA-F]+$")
+    return F.when(counted, numbers).otherwise(_let(F.when(hexadecimal, 6).otherwise(26), letters))
 
 
 def _name(gender: Column, body: Column, digest: Column) -> Column:
     """A given name (if the body has two words or more) and a surname, of the gender and the name's script."""
-    cyrillic = body.rlike(r"\p{IsCyrillic}")
-    of = lambda tables, place: F.when(cyrillic, _chosen(tables["cyrillic"], digest, place)).otherwise(_chosen(tables["latin"], digest, place))
-    given = of({script: GIVEN["n", script] for script in SURNAME_STARTS}, 0)
-    for g in ("m", "f"):
-        given = F.when(gender == g, of({script: GIVEN[g, script] for script in SURNAME_STARTS}, 0)).otherwise(given)
-    name = F.concat(F.when(body.contains(" "), F.concat(given, F.lit(" "))).otherwise(""), of(SURNAME_STARTS, 1), of(SURNAME_ENDS, 2))
-    name = F.concat(name, F.when(cyrillic & (gender == "f"), "а").otherwise(""))
-    return F.when(body == F.upper(body), F.upper(name)).otherwise(name)
+    scripts = list(SURNAME_STARTS)
+    parted, female = body.contains(" "), gender == "f"
+    number = F.lit(scripts.index("latin"))
+    for script, letters in SCRIPTS.items():
+        number = F.when(body.rlike(letters), scripts.index(script)).otherwise(number)
+    by_gender = [F.array(*[F.lit(list(GIVEN[g, script])) for g in ("m", "f", "n")]) for script in scripts]
+    starts = [F.lit(list(SURNAME_STARTS[script])) for script in scripts]
+    ends = [F.lit(list(SURNAME_ENDS.get(script, ("",)))) for script in scripts]
+    one_of = lambda values, place: F.get(values, _draw(digest, place, F.size(values)))
+
+    def build(n: Column) -> Column:
+        given = F.get(F.get(F.array(*by_gender), n), F.when(gender == "m", 0).when(female, 1).otherwise(2))
+        surname = F.concat(one_of(F.get(F.array(*starts), n), 1), one_of(F.get(F.array(*ends), n), 2))
+        for script, (end, instead) in FEMALE_ENDS.items():
+            surname = F.when(female & (n == scripts.index(script)), F.regexp_replace(surname, end, instead)).otherwise(surname)
+        between = F.when(parted, " ").otherwise("")
+        second = F.when(n == scripts.index("han"), one_of(given, 2)).otherwise("")
+        surname_first = F.concat(surname, between, one_of(given, 0), second)
+        given_first = F.concat(F.when(parted, one_of(given, 0)).otherwise(""), between, surname)
+        return F.when(n.isin(*[scripts.index(x) for x in scripts if x not in SURNAME_ENDS]), surname_first).otherwise(given_first)
+
+    name = _let(number, build)
+    cased = body.rlike(r"\p{Lu}\p{Lu}") & (body == F.upper(body))
+    return F.when(cased, F.upper(name)).otherwise(name)
 
 
 def _address(body: Column, digest: Column) -> Column:
