@@ -25,6 +25,7 @@ from tallyloom.llm.samples import choose, features_of, minimise
 PER_CLASS = 1000  # at most so many labelled documents of each quality are fitted on
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_CONTENT = 50, 50, 0.5
 SEED, SEQUENCE, FEATURES = 37, 64, 16
+RUN = 6  # lines of one label in a row, at most, in the sequences that are fitted on
 BOILERPLATE, CONTENT = 0, 1
 
 SYMBOLS = b"#*$%&|<>"
@@ -112,13 +113,15 @@ class Model:
         return labels[::-1]
 
 
-def fit_sequences(sequences: list[np.ndarray], labels: list[np.ndarray], penalty: float = 1e-3, steps: int = 120) -> Model:
-    """Maximum likelihood on line features (bits) and labels. Long sequences are fitted in parts of SEQUENCE lines."""
+def _objective(sequences: list[np.ndarray], labels: list[np.ndarray], penalty: float):
+    """The gradient of the mean negative log-likelihood a line and the penalty, and the value, as functions of the weights;
+    null if fewer than two labels occur. Long sequences are fitted in parts of SEQUENCE lines.
+    """
     parts = [
         (s[i : i + SEQUENCE], y[i : i + SEQUENCE]) for s, y in zip(sequences, labels) for i in range(0, len(s), SEQUENCE)
     ]
     if len({int(v) for _, y in parts for v in y}) < 2:
-        return Model(np.zeros((FEATURES, 2)), np.zeros((2, 2)))
+        return None
     n, length = len(parts), max(len(s) for s, _ in parts)
     bits, y, real = np.zeros((n, length), np.int64), np.zeros((n, length), int), np.zeros((n, length), bool)
     for row, (s, labelled) in enumerate(parts):
@@ -129,7 +132,7 @@ def fit_sequences(sequences: list[np.ndarray], labels: list[np.ndarray], penalty
     moves = np.einsum("nti,ntj->ij", truth[:, :-1] * both[:, :, None], truth[:, 1:])
     total = real.sum()
 
-    def gradient(p: np.ndarray) -> np.ndarray:
+    def evaluate(p: np.ndarray) -> tuple[np.ndarray, float]:
         w, t = p[: 2 * FEATURES].reshape(FEATURES, 2), p[2 * FEATURES :].reshape(2, 2)
         e = x @ w
         forward, backward = np.zeros((n, length, 2)), np.zeros((n, length, 2))
@@ -145,20 +148,52 @@ def fit_sequences(sequences: list[np.ndarray], labels: list[np.ndarray], penalty
         pair = forward[:, :-1, :, None] + t + (e[:, 1:] + backward[:, 1:])[:, :, None, :] - z[:, None, None, None]
         expected = (np.exp(pair) * both[:, :, None, None]).sum((0, 1))
         by_w = np.einsum("ntf,ntj->fj", x, marginal - truth)
-        return np.concatenate([by_w.ravel(), (expected - moves).ravel()]) / total + penalty * p
+        loss = (z.sum() - (e * truth).sum() - (t * moves).sum()) / total + penalty * (p * p).sum() / 2
+        return np.concatenate([by_w.ravel(), (expected - moves).ravel()]) / total + penalty * p, loss
 
-    p = minimise(gradient, np.zeros(2 * FEATURES + 4), steps, 0.1)
+    return evaluate
+
+
+def fit_sequences(sequences: list[np.ndarray], labels: list[np.ndarray], penalty: float = 1e-3, steps: int = 120) -> Model:
+    """Maximum likelihood on line features (bits) and labels; all zero where only one label occurs."""
+    evaluate = _objective(sequences, labels, penalty)
+    if evaluate is None:
+        return Model(np.zeros((FEATURES, 2)), np.zeros((2, 2)))
+    p = minimise(lambda w: evaluate(w)[0], np.zeros(2 * FEATURES + 4), steps, 0.1)
     return Model(p[: 2 * FEATURES].reshape(FEATURES, 2), p[2 * FEATURES :].reshape(2, 2))
 
 
+def spliced(good: list[np.ndarray], poor: list[np.ndarray], seed: int = SEED, run: int = RUN) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sequences and labels: runs of 1 to `run` lines taken in turn from a good and a poor document, until both are used up.
+
+    Labels are known by document, so documents alone would teach that a label never changes; spliced ones show changes.
+    The shorter list of documents is used again from its start.
+    """
+    draw, sequences, labels = np.random.default_rng(seed), [], []
+    for i in range(max(len(good), len(poor)) if len(good) and len(poor) else 0):
+        rest = {CONTENT: good[i % len(good)], BOILERPLATE: poor[i % len(poor)]}
+        parts, marks, turn = [], [], int(draw.integers(2))
+        while any(map(len, rest.values())):
+            n = int(draw.integers(1, run + 1))
+            part, rest[turn] = rest[turn][:n], rest[turn][n:]
+            parts.append(part)
+            marks.append(np.full(len(part), turn))
+            turn = 1 - turn
+        sequences.append(np.concatenate(parts))
+        labels.append(np.concatenate(marks))
+    return sequences, labels
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = SEED) -> Model:
     """Fit from documents labelled by quality (doc_id, quality): lines of good ones count as content, of poor ones as
-    boilerplate. At most `per_class` documents of each kind, chosen by hash of the id among all labels.
+    boilerplate, and both are spliced into one another. At most `per_class` documents of each kind, chosen by hash of the id
+    among all labels.
     """
     rated = labels.where("quality is not null").select("doc_id", (F.col("quality") > 0).cast("int").alias("class"))
     chosen = choose(rated, per_class, range(2), seed)
     found, _, y = features_of(docs, chosen, lambda text: (np.array(f := lines_of(text)[0], np.int64), np.zeros(len(f))))
-    return fit_sequences(found, [np.full(len(f), c) for f, c in zip(found, y)])
+    of = lambda label: [f for f, c in zip(found, y) if c == label and len(f)]
+    return fit_sequences(*spliced(of(CONTENT), of(BOILERPLATE)))
 
 
 COLUMNS = {
