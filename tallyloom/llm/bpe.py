@@ -41,10 +41,11 @@ def byte_letters() -> list[str]:
 
 
 # The vocabulary's split rule, with letters, numbers and white space spelled out for lower case below U+0100.
-_WORDS = re.compile(
+_WORDS = (
     "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]"
     "|[^a-z0-9\t-\r \u0085\u00a0\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00df-\u00f6\u00f8-\u00ff]+"
 )
+_WORDS_OF_LINES = re.compile(f"\n|{_WORDS}")
 
 
 # Fixed value: the split rule under which no token crosses ASCII white space and white space leaves no token.
@@ -73,32 +74,25 @@ class Splitter:
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
             raise ValueError("added tokens must match plain text")
         self.special: dict[str, int] = {t["content"]: t["id"] for t in added}
-        self.marks = [x.encode() for x in self.special]
         by_length = sorted(map(re.escape, self.special), key=len, reverse=True)
         self.special_pattern = re.compile(f"({'|'.join(by_length)})") if by_length else None
         self.letters = dict(enumerate(byte_letters()))
 
-    def pieces(self, chunk: bytes) -> list[str | int]:
-        """Words in byte letters, and ids of special tokens."""
-        if chunk.isalpha():  # ASCII letters
-            return [chunk.lower().decode()]
-        if chunk[:-1].isalpha() and 32 < chunk[-1] < 127:  # and something behind them
-            return [chunk[:-1].lower().decode(), chr(chunk[-1])]
-        text = chunk.decode()
-        if not any(m in chunk for m in self.marks):
-            return self.words(text)
-        parts = [p for p in self.special_pattern.split(text) if p]
-        return [w for p in parts for w in ([self.special[p]] if p in self.special else self.words(p))]
-
-    def words(self, text: str) -> list[str]:
-        """Words of a text in byte letters: below U+0100 by the rule itself, others by the library's normaliser and splitter."""
-        if text.isascii():
-            if text.isalpha():
-                return [text.lower()]
-            found = _WORDS.findall(text.lower())
-            return found if text.isprintable() else [w.translate(self.letters) for w in found]
-        if max(text) < "\u0100":  # composed already, and lower case is letter by letter
-            return [w.encode().decode("latin-1").translate(self.letters) for w in _WORDS.findall(text.lower())]
+    def words_of_lines(self, lines: list[str]) -> list[str]:
+        """Words of texts below U+0100 without special tokens or line breaks, and a line break after each text. Letters are
+        composed there already, and lower case is letter by letter.
+        """
+        return _WORDS_OF_LINES.findall("\n".join([*lines, ""]).lower())
+
+    def byte_lettered(self, word: str) -> str:
+        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+
+    def pieces(self, text: str) -> list[str | int]:
+        """Words of any text in byte letters, by the library's normaliser and splitter, and ids of special tokens."""
+        parts = self.special_pattern.split(text) if self.special_pattern else [text]
+        return [w for p in parts for w in ([self.special[p]] if p in self.special else self._words(p))]
+
+    def _words(self, text: str) -> list[str]:
         normal = self.library.normalizer.normalize_str(text)
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
@@ -199,55 +193,77 @@ class Vocabulary(Splitter):
             found[word] = pack(f"<{len(tokens)}I", *tokens)
         return found
 
+    def word_ids(self, words: list[str]) -> pa.ListArray:
+        """encode_words, in the words' order."""
+        return packed_lists(map(self.encode_words(words).get, words))
+
 
 class ChunkEncoder:
-    """Encodes texts chunk by chunk; a chunk stands between ASCII white space. `encode_words` gives the ids of words.
+    """Encodes texts chunk by chunk; a chunk stands between ASCII white space. `encode_words` gives the ids of distinct words
+    in byte letters.
 
-    Known chunks are kept in two generations: when one is full it replaces the older one, and what recurs moves up. So
-    memory is bounded whatever the corpus, and frequent chunks stay.
+    Known chunks and their ids are two Arrow arrays, so Python sees new chunks alone. When they would hold more than `limit`
+    chunks, what the current batch doesn't use is dropped: memory is bounded whatever the corpus.
     """
 
-    def __init__(self, splitter: Splitter, encode_words: Callable[[set[str]], dict[str, bytes]], limit: int = CACHE_CHUNKS):
-        self.splitter, self.encode_words, self.limit = splitter, encode_words, limit // 2
-        self.marks = list(splitter.special)
-        self.recent: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+    def __init__(self, splitter: Splitter, encode_words: Callable[[list[str]], pa.ListArray], limit: int = CACHE_CHUNKS):
+        self.splitter, self.encode_words, self.limit = splitter, encode_words, limit
+        self.chunks, self.ids = pa.array([], pa.string()), id_lists([])
 
     def encode(self, column: pa.Array) -> pa.ListArray:
-        """The ids of each text of a column as array<int>; null is empty. Python sees the distinct chunks alone."""
+        """The ids of each text of a column as array<int>; null is empty."""
         chunks = pc.ascii_split_whitespace(self._lowered(pc.fill_null(column.cast(pa.string()), "")))
         distinct = chunks.flatten().dictionary_encode()
-        known = self._known(distinct.dictionary.cast(pa.binary()).to_pylist())
-        sizes = np.array([len(k) // 4 for k in known], np.int64)
-        ids = _lists(np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(known), "<i4"))
-        ends = np.zeros(len(distinct) + 1, np.int64)
-        np.cumsum(sizes[distinct.indices.to_numpy()], out=ends[1:])
-        return pa.ListArray.from_arrays(pa.array(ends[chunks.offsets.to_numpy()].astype(np.int32)), ids.take(distinct.indices).flatten())
+        ids = self._known(distinct.dictionary)
+        return _grouped(ids.take(distinct.indices), chunks.offsets.to_numpy())
 
     def _lowered(self, column: pa.Array) -> pa.Array:
         # Upper case would cost a second entry; but special tokens are matched before texts are lower-cased.
-        lower = pc.ascii_lower(column)
-        for mark in self.marks:
-            lower = pc.if_else(pc.match_substring(column, mark, ignore_case=True), column, lower)
+        lower = small = pc.ascii_lower(column)
+        for mark in self.splitter.special:
+            lower = pc.if_else(pc.match_substring(small, mark.lower()), column, lower)
         return lower
 
-    def _known(self, distinct: list[bytes]) -> list[bytes]:
-        new = {c for c in distinct if c not in self.recent}
-        if len(self.recent) + len(new) > self.limit:
-            self.older, self.recent, new = self.recent, {}, set(distinct)
-        again = new.intersection(self.older)
-        self.recent.update((c, self.older[c]) for c in again)
-        self.recent.update(self._learn(new - again))
-        return [self.recent[c] for c in distinct]
-
-    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        pieces = {c: self.splitter.pieces(c) for c in chunks}
-        known = self.encode_words({w for words in pieces.values() for w in words if type(w) is str})
-        return {
-            c: known[words[0]] if len(words) == 1 and type(words[0]) is str
-            else b"".join(known[w] if type(w) is str else pack("<I", w) for w in words)
-            for c, words in pieces.items()
-        }
+    def _known(self, distinct: pa.Array) -> pa.ListArray:
+        at = pc.index_in(distinct, value_set=self.chunks)
+        if not at.null_count:
+            return self.ids.take(at)
+        unknown = at.is_null()
+        new, places = distinct.filter(unknown), pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        unknown = unknown.to_numpy(zero_copy_only=False)
+        if len(self.chunks) + len(new) > self.limit:
+            used = at.drop_null()
+            self.chunks, self.ids = self.chunks.take(used), self.ids.take(used)
+            places[~unknown] = np.arange(len(used))
+        places[unknown] = len(self.chunks) + np.arange(len(new))
+        self.chunks, self.ids = pa.concat_arrays([self.chunks, new]), pa.concat_arrays([self.ids, self._learnt(new)])
+        return self.ids.take(pa.array(places))
+
+    def _learnt(self, chunks: pa.Array) -> pa.ListArray:
+        by_rule = pc.match_substring_regex(chunks, r"^[\x{00}-\x{ff}]*$")
+        for mark in self.splitter.special:
+            by_rule = pc.and_(by_rule, pc.invert(pc.match_substring(chunks, mark)))
+        words = pa.array(self.splitter.words_of_lines(chunks.filter(by_rule).to_pylist()), pa.string()).dictionary_encode()
+        names, places = words.dictionary.to_pylist(), words.indices.to_numpy()
+        breaks = names.index("\n") if "\n" in names else -1
+        ends = np.flatnonzero(places == breaks) - np.arange(np.count_nonzero(places == breaks))
+        ids = self._ids_of(names, breaks).take(pa.array(places[places != breaks]))
+        found = _grouped(ids, np.concatenate([[0], ends]))
+        if len(found) < len(chunks):
+            rest = [self.splitter.pieces(c) for c in chunks.filter(pc.invert(by_rule)).to_pylist()]
+            named = sorted({w for pieces in rest for w in pieces if type(w) is str})
+            known = dict(zip(named, self.encode_words(named).to_pylist()))
+            others = id_lists([[i for w in pieces for i in (known[w] if type(w) is str else [w])] for pieces in rest])
+            order = np.argsort(np.argsort(pc.invert(by_rule).to_numpy(zero_copy_only=False), kind="stable"))
+            found = pa.concat_arrays([found, others]).take(pa.array(order))
+        return found
+
+    def _ids_of(self, names: list[str], breaks: int) -> pa.ListArray:
+        """The ids of words by place; what stands at `breaks` is no word."""
+        words = [self.splitter.byte_lettered(w) for i, w in enumerate(names) if i != breaks]
+        ids = self.encode_words(words)
+        places = np.arange(len(names)) - (np.arange(len(names)) > breaks if breaks >= 0 else 0)
+        return ids.take(pa.array(np.minimum(places, len(ids) - 1))) if len(ids) else ids
 
 
 @lru_cache(2)
@@ -258,13 +274,26 @@ def vocabulary(text: str) -> Vocabulary:
 @lru_cache(2)
 def _encoder(text: str) -> ChunkEncoder:
     """One per Python worker and vocabulary: later tasks of the worker find the cache filled."""
-    return ChunkEncoder(vocabulary(text), vocabulary(text).encode_words)
+    return ChunkEncoder(vocabulary(text), vocabulary(text).word_ids)
 
 
 def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, pa.int32()))
 
 
+def _grouped(lists: pa.ListArray, offsets: np.ndarray) -> pa.ListArray:
+    """Runs of lists, which start and end at the offsets, each as one list."""
+    ends = np.zeros(len(lists) + 1, np.int64)
+    np.cumsum(lists.value_lengths().to_numpy(), out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends[offsets].astype(np.int32)), lists.flatten())
+
+
+def packed_lists(packed: Iterable[bytes]) -> pa.ListArray:
+    """Lists of ids from their bytes."""
+    packed = list(packed)
+    return _lists(np.cumsum([0, *[len(p) // 4 for p in packed]]), np.frombuffer(b"".join(packed), "<i4"))
+
+
 def id_lists(encoded: list[list[int]]) -> pa.ListArray:
     return pa.array(encoded, pa.list_(pa.int32()))
 
