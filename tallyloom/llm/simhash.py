@@ -21,10 +21,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import row_hash, settle, slices, texts
+from tallyloom.llm.common import free_name, row_hash, settle, slices, texts
 from tallyloom.llm.components import components
 
 BITS, SEGMENTS, MAX_DIFFER, SEED = 64, 4, 3, 42
@@ -156,7 +155,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, crowd: int = CROWD) -> Da
 def keep_one(docs: DataFrame, shingle: int = 3, crowd: int = CROWD) -> DataFrame:
     """The rows of docs that stand for their group: the one with the smallest doc_id; of several with that doc_id, one.
 
-    Returns docs' columns. Fingerprints are made once more beside the texts rather than carried through the search, so
+    Returns docs' columns. Fingerprints are made once more beside the texts rather than carried through the search. Rows
+    that share doc_id and fingerprint become one before the shuffle, so a row that repeats without end piles up nowhere;
     texts are shuffled once, to the decision about them.
     """
     chosen = settle(
@@ -165,17 +165,13 @@ def keep_one(docs: DataFrame, shingle: int = 3, crowd: int = CROWD) -> DataFrame
         .groupBy("component_id").agg(F.min("fingerprint").alias("fingerprint_kept")),
         "simhash-chosen",
     )
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("key")
+    chosen = chosen.select(key("component_id"), F.col("fingerprint_kept").alias("made"))
     names = docs.columns
-    made = with_fingerprints(docs, shingle, name="fingerprint_made").select(
-        *[F.col(c).alias(f"_{i}") for i, c in enumerate(names)],
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"),
-        F.col("fingerprint_made").alias("made"),
-    )
-    chosen = chosen.select(
-        F.coalesce(F.col("component_id").cast("string"), F.lit("")).alias("key"), F.col("fingerprint_kept").alias("made")
-    )
-    kept = made.join(chosen, ["key", "made"], "left_semi")
-    # Partitioned as the join left it: repeats are ranked without another shuffle.
-    own = W.partitionBy("key", "made").orderBy(row_hash(kept, *[f"_{i}" for i in range(len(names))]))
-    first = kept.withColumn("place", F.row_number().over(own)).where("place = 1")
-    return first.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)])
+    made = free_name(docs, "made")
+    rows = with_fingerprints(docs, shingle, name=made)
+    whole = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
+    rows = rows.select(key("doc_id"), F.col(made).alias("made"), row_hash(rows, *names).alias("order"), whole.alias("whole"))
+    one = rows.groupBy("key", "made").agg(F.min_by("whole", "order").alias("whole"))
+    kept = one.join(chosen, ["key", "made"], "left_semi")
+    return kept.select(*[F.col(f"whole.c{i}").alias(c) for i, c in enumerate(names)])

@@ -15,7 +15,6 @@ import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +30,7 @@ from tallyloom.llm.bpe import (
 from tallyloom.llm.common import slices
 
 END_ID = 1
+WORDS = 512  # given to the library's model at once
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 64 << 10
 SCHEMA = "doc_id long, shard int, place long, n_tokens long, ids array<int>"
 
@@ -40,11 +40,20 @@ class LibraryEncoder:
     bounded cache of what stands between white space; otherwise it gets whole texts.
     """
 
-    def __init__(self, text: str, limit: int = 3 * CACHE_CHUNKS):
+    def __init__(self, text: str, limit: int = CACHE_CHUNKS):
         self.library = Tokenizer.from_str(text)
         self.library.no_truncation()
         self.library.no_padding()
-        self.chunks = ChunkEncoder(Splitter(text), self._words, limit) if cuts_at_space(json.loads(text)) else None
+        spec = json.loads(text)
+        self.chunks = ChunkEncoder(Splitter(text), self._words, limit) if cuts_at_space(spec) else None
+        if self.chunks:
+            # Its model alone, over words that are cut and spelled in byte letters already.
+            plain = spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
+            self.model = Tokenizer.from_str(json.dumps(plain | {"truncation": None, "padding": None}))
+            last = spec["model"].get("end_of_word_suffix")
+            ids = spec["model"]["vocab"]
+            self.ends_word = np.zeros(max(ids.values()) + 1, bool)
+            self.ends_word[[i for t, i in ids.items() if last and t.endswith(last)]] = True
 
     def encode(self, column: pa.Array) -> pa.ListArray:
         """The ids of each text of a column as array<int>; null is empty."""
@@ -53,9 +62,15 @@ class LibraryEncoder:
         whole = [t or "" for t in column.to_pylist()]
         return id_lists([e.ids for e in self.library.encode_batch_fast(whole, add_special_tokens=False)])
 
-    def _words(self, words: set[str]) -> dict[str, bytes]:
-        tokenize = self.library.model.tokenize
-        return {w: pack(f"<{len(t)}I", *[x.id for x in t]) for w in words if (t := tokenize(w)) is not None}
+    def _words(self, words: list[str]) -> pa.ListArray:
+        """Many words a call. The last token of a word, and no other, is one that ends words."""
+        lines = [" ".join(words[i : i + WORDS]) for i in range(0, len(words), WORDS)]
+        encoded = self.model.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.array([i for e in encoded for i in e.ids], np.int32)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words):
+            return id_lists([[t.id for t in self.library.model.tokenize(w)] for w in words])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
 
 
 @lru_cache(2)

@@ -37,7 +37,7 @@ def test_quality_keeps_good_documents(spark, stages):
 def test_near_dedup_against_brute_force(stages):
     docs, kept = stages["near_dedup"]
     rows = sorted(docs.collect())
-    prints = [simhash.fingerprint((r.text or "").encode(), 5) & (2**64 - 1) for r in rows]
+    prints = [simhash.fingerprint((r.text or "").encode(), 3) & (2**64 - 1) for r in rows]
     group = list(range(len(rows)))
     changed = True
     while changed:
@@ -91,6 +91,6 @@ def test_empty_and_odd_documents_pass_through(spark):
 
 def test_queries_are_registered():
     names = [n for n in entry_point.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert entry_point.queries()["pipeline"] is corpus_pipeline.run
     assert set(queries.ORACLE_SQL) <= set(entry_point.oracle_sql())

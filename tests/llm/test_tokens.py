@@ -20,7 +20,7 @@ def library_ids(text):
 
 def encoders():
     text = bpe.read_vocabulary(queries.TOKENIZER)
-    return bpe.ChunkEncoder(bpe.vocabulary(text), bpe.vocabulary(text).encode_words, 400), token_files.LibraryEncoder(text, 400)
+    return bpe.ChunkEncoder(bpe.vocabulary(text), bpe.vocabulary(text).word_ids, 400), token_files.LibraryEncoder(text, 400)
 
 
 @pytest.mark.parametrize("which", [0, 1])
