@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe, mixing, near_copies, pii, quality
+from tallyloom.llm import bpe, mixing, pii, quality, simhash
 from tallyloom.llm.common import free_name, settle, table
 from tallyloom.llm.queries import TOKENIZER
 
@@ -21,8 +21,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, five-word shingles alike to 0.8 or more: that with the smallest doc_id."""
-    return near_copies.keep_one(docs)
+    """One document of each group whose fingerprints of three-word shingles link at 3 or fewer differing bits: that with
+    the smallest doc_id.
+    """
+    return simhash.keep_one(docs, shingle=3)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
