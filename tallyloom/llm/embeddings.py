@@ -1,10 +1,13 @@
 """Near-duplicate vectors by cross-polytope hashing after fast Hadamard rotations.
 
 A hash rotates a unit vector pseudo-randomly (three rounds of random signs and a Walsh-Hadamard transform) and names the
-nearest of the 2d signed axes. A table joins HASHES of them into a bucket; a vector lies in its own bucket of each table
-and in the PROBES likeliest next ones. Vectors that meet in a bucket, one of them in its own, are compared exactly.
+nearest of the 2d signed axes. A table joins some of them into a bucket; a vector lies in its own bucket of each table
+and in the PROBES likeliest next ones. Vectors that meet in a bucket, one of them in its own, are compared exactly. There
+are as many hashes to a table as keep buckets small at the number of vectors, and as many tables as those hashes need to
+miss a pair at the threshold with a probability of MISS at most, measured on random pairs of that length.
 
-Copies are one class and hashed once. Buckets with more than BLOCK members are cut into blocks by hash, and every pair
+Copies are one class and hashed once. Names of buckets are counted first, without vectors; only classes that meet another
+one there are brought together with theirs. Buckets with more than BLOCK members are cut into blocks by hash, and every pair
 of blocks is a group of its own, so no bucket lands in one task and all its pairs are compared. A pair that meets in
 several buckets counts in the first only. Groups return sums of links and a spanning forest of theirs, not pairs: what
 is written follows the number of vectors, however dense they lie.
@@ -13,6 +16,7 @@ is written follows the number of vectors, however dense they lie.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -25,26 +29,35 @@ from tallyloom.llm.common import settle, slices
 from tallyloom.llm.components import components
 
 THRESHOLD = 0.93
-TABLES, HASHES, PROBES = 8, 2, 3
-BLOCK, TILE, SEED = 1024, 256, 97
+PROBES, MISS = 3, 1e-4
+BLOCK, TILE, SEED, RADIX = 1024, 256, 97, 64
 NEXT = 3  # how many nearest axes of a hash are combined into probes
 
 
+@lru_cache(8)
+def _matrix(size: int) -> np.ndarray:
+    """The Hadamard matrix of that size."""
+    made = np.ones((1, 1))
+    while len(made) < size:
+        made = np.block([[made, made], [made, -made]])
+    return made
+
+
 def _hadamard(x: np.ndarray) -> np.ndarray:
-    """Walsh-Hadamard transform of the rows, scaled to keep lengths."""
+    """Walsh-Hadamard transform of the rows, scaled to keep lengths: up to six levels a step, as a product with a small matrix."""
     n, d = x.shape
     width = 1
     while width < d:
-        x = x.reshape(n, d // (2 * width), 2, width)
-        x = np.concatenate([x[:, :, :1] + x[:, :, 1:], x[:, :, :1] - x[:, :, 1:]], axis=2).reshape(n, d)
-        width *= 2
+        step = min(RADIX, d // width)
+        x = np.matmul(_matrix(step), x.reshape(n, d // (step * width), step, width)).reshape(n, d)
+        width *= step
     return x / np.sqrt(d)
 
 
-def buckets(vectors: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
+def buckets(vectors: np.ndarray, tables: int, hashes: int, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
     """By row, table and place: the own bucket first, then the probed ones, likeliest first. -1: fewer combinations."""
     n, given = vectors.shape
-    d = max(4, 1 << (given - 1).bit_length())
+    d = _padded(given)
     unit = np.zeros((n, d))
     unit[:, :given] = vectors / np.linalg.norm(vectors, axis=1)[:, None]
     random = np.random.default_rng(seed)
@@ -56,7 +69,8 @@ def buckets(vectors: np.ndarray, tables: int = TABLES, hashes: int = HASHES, pro
             y = unit
             for _ in range(3):
                 y = _hadamard(y * random.choice([-1.0, 1.0], d))
-            nearest = np.argsort(-np.abs(y), axis=1, kind="stable")[:, :NEXT]
+            nearest = np.sort(np.argpartition(-np.abs(y), NEXT - 1, axis=1)[:, :NEXT], axis=1)
+            nearest = np.take_along_axis(nearest, np.argsort(-np.abs(np.take_along_axis(y, nearest, 1)), axis=1, kind="stable"), 1)
             size = np.take_along_axis(y, nearest, 1)
             axes.append(2 * nearest + (size < 0))
             lost.append((np.abs(size[:, :1]) - np.abs(size)) ** 2)
@@ -69,6 +83,28 @@ def buckets(vectors: np.ndarray, tables: int = TABLES, hashes: int = HASHES, pro
     return result
 
 
+@lru_cache(64)
+def tables_needed(dims: int, hashes: int, threshold: float = THRESHOLD, probes: int = PROBES, miss: float = MISS) -> int:
+    """Tables with which random vectors at a cosine of the threshold meet nowhere with a probability of `miss` at most."""
+    draw, pairs, tables = np.random.default_rng(SEED), min(1000, max(100, 25_600 // dims)), 4
+    a, other = draw.normal(size=(2, pairs, dims))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    other -= (other * a).sum(1)[:, None] * a
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    x = buckets(a, tables, hashes, probes)
+    y = buckets(threshold * a + np.sqrt(max(0.0, 1 - threshold**2)) * other, tables, hashes, probes)
+    apart = 1 - ((x[:, :, :1] == y) | (y[:, :, :1] == x)).any(2).mean()
+    return max(2, int(np.ceil(np.log(miss) / np.log(min(max(apart, 1e-3), 0.999)))))
+
+
+def plan(vectors: int, dims: int, threshold: float = THRESHOLD, probes: int = PROBES) -> tuple[int, int]:
+    """Tables and hashes for that many distinct vectors of a label: a table has at least as many buckets as unlike vectors
+    meet one by chance, own or probed on either side. So chance meetings stay below one a vector and table, at any number.
+    """
+    hashes = max(2, int(np.ceil(np.log(max(2, vectors * (1 + 2 * probes))) / np.log(2 * dims) - 1e-9)))
+    return tables_needed(dims, hashes, threshold, probes), hashes
+
+
 def classes_of(rows: DataFrame) -> DataFrame:
     """rows (vec_id, embedding, label) with `class` (text) and `vector` (its doubles as bytes): equal in label and vector,
     equal class. Both are null where nothing may link: no label or vector, or one that is zero, holds null or a component
@@ -94,33 +130,28 @@ def classes_of(rows: DataFrame) -> DataFrame:
 
 
 KEYS = ["label", "dims", "hashed", "bucket", "block", "other"]
-INDEX = "label string, dims int, hashed int, bucket long, probe boolean, class string, copies long, vector binary, keys binary"
+PLACES = "label string, class string, copies long, vector binary, dims int, keys array<long>"
+
 
+def _padded(dims: int) -> int:
+    return max(4, 1 << (dims - 1).bit_length())
 
-def _index(classes: DataFrame, tables: int, hashes: int, probes: int, with_vectors: bool = True) -> DataFrame:
-    """A row per class, table and place; without vectors only what names the bucket."""
+
+def _hashed(classes: DataFrame, plans: dict[int, tuple[int, int]], probes: int) -> DataFrame:
+    """Classes with their length and the buckets of all tables, 1 + probes to a table; `plans` go by padded length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256 << 10):
-            label, name, copies, vector = (batch.column(i).to_pylist() for i in range(4))
-            sizes = np.array([len(v) // 8 for v in vector], int)
+        for batch in slices(batches, 1 << 20):
+            vectors = batch.column(3).to_pylist()
+            sizes = np.array([len(v) // 8 for v in vectors], int)
             for dims in np.unique(sizes):
                 at = np.flatnonzero(sizes == dims)
-                found = buckets(np.array([np.frombuffer(vector[i]) for i in at]), tables, hashes, probes)
-                places = [(r, t, p) for r in range(len(at)) for t in range(tables) for p in range(1 + probes) if found[r, t, p] >= 0]
-                row, table, place = (np.array(x, np.int32) for x in zip(*places))
-                source = at[row]
-                keys = [found[r].tobytes() for r in range(len(at))] if with_vectors else [None] * len(at)
-                columns = [
-                    pa.array([label[i] for i in source], pa.string()), pa.array(np.full(len(row), dims, np.int32)), pa.array(table),
-                    pa.array(found[row, table, place]), pa.array(place > 0), pa.array([name[i] for i in source], pa.string()),
-                    pa.array([copies[i] for i in source], pa.int64()),
-                    pa.array([vector[i] if with_vectors else None for i in source], pa.binary()),
-                    pa.array([keys[r] for r in row], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["label", "dims", "hashed", "bucket", "probe", "class", "copies", "vector", "keys"])
-
-    return classes.select("label", "class", "copies", "vector").mapInArrow(run, INDEX)
+                found = buckets(np.array([np.frombuffer(vectors[i]) for i in at]), *plans[_padded(int(dims))], probes)
+                keys = pa.array(list(found.reshape(len(at), -1)), pa.list_(pa.int64()))
+                own = [c.take(pa.array(at)) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(at), dims, np.int32)), keys], names=[*batch.schema.names, "dims", "keys"])
+
+    return classes.select("label", "class", "copies", "vector").mapInArrow(run, PLACES)
 
 
 def _first_meeting(keys: np.ndarray, i: np.ndarray, j: np.ndarray, table: int, bucket: int) -> np.ndarray:
@@ -179,9 +210,8 @@ def _links(index: DataFrame, threshold: float) -> DataFrame:
         if probe.all():
             return None
         vectors = np.frombuffer(b"".join(rows["vector"].to_pylist())).reshape(len(rows), -1)
-        places = np.frombuffer(b"".join(rows["keys"].to_pylist()), np.int64)
+        keys = rows["keys"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1, rows["places"][0].as_py())
         table, bucket = rows["hashed"][0].as_py(), rows["bucket"][0].as_py()
-        keys = places.reshape(len(rows), -1, places.size // len(rows) // rows["tables"][0].as_py())
         cross = rows["block"][0].as_py() != rows["other"][0].as_py()
         linked, root = _group_links(
             vectors, probe, rows["side"].to_numpy(), cross, keys, rows["copies"].to_numpy(), table, bucket, threshold
@@ -215,14 +245,15 @@ def _links(index: DataFrame, threshold: float) -> DataFrame:
     return index.mapInArrow(run, "class string, root string, linked long")
 
 
-def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, hashes: int = HASHES,
+def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, tables: int | None = None, hashes: int | None = None,
                     probes: int = PROBES, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of `rows` (vec_id, embedding, label; others are ignored).
 
     n_links: other rows whose vector has the same label and length and a cosine of at least `threshold`, copies included.
     component_id: the smallest vec_id reachable by links. Rows that can't link (see classes_of) have no links and their own
-    id. Links are searched by hashing: a pair at the threshold is missed with a probability below 1 in 100, nearer ones far less; pairs
-    below it are never linked. Empty in, empty out.
+    id. Links are searched by hashing: a pair at the threshold is missed with a probability of about MISS, nearer ones far
+    less; pairs below it are never linked. `tables` and `hashes` follow from the number of vectors unless given. The driver
+    learns that number by padded length. Empty in, empty out.
     """
     rows = settle(classes_of(rows), "vectors-rows")
     valid = rows.where("class is not null").groupBy("class")
@@ -230,17 +261,25 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, tables: int =
         valid.agg(F.first("label").alias("label"), F.count("*").alias("copies"), F.min("vec_id").alias("smallest"),
                   F.first("vector").alias("vector")), "vectors-classes",
     )
+    size = F.octet_length("vector") / 8
+    counted = classes.groupBy("label", F.greatest(F.lit(2), F.length(F.bin(size.cast("long") - 1))).alias("bits")).count()
+    most = counted.groupBy("bits").agg(F.max("count").alias("n")).collect()
+    plans = {1 << r.bits: plan(r.n, 1 << r.bits, threshold, probes) for r in most} if not (tables and hashes) else {1 << r.bits: (tables, hashes) for r in most}
+    hashed = settle(_hashed(classes, plans, probes), "vectors-hashed")
     own = ["label", "dims", "hashed", "bucket"]
-    sizes = _index(classes, tables, hashes, probes, with_vectors=False).groupBy(own).agg(F.count("*").alias("members"))
-    crowded = settle(sizes.where(F.col("members") > block), "vectors-crowded")
-    index = _index(classes, tables, hashes, probes).join(crowded, own, "left")
-    parts = F.coalesce(F.ceil(F.col("members") / block), F.lit(1)).cast("int")
+    places = hashed.select("class", "label", "dims", F.posexplode("keys").alias("pos", "bucket")).where("bucket >= 0")
+    places = places.select("class", *own[:2], F.expr(f"int(pos div {1 + probes})").alias("hashed"), "bucket", (F.col("pos") % (1 + probes) > 0).alias("probe"))
+    sizes = places.groupBy(own).agg(F.count("*").alias("members"), F.min("probe").alias("only_probed"))
+    met = settle(sizes.where("members > 1 and not only_probed").drop("only_probed"), "vectors-met")
+    index = places.join(met, own)
+    parts = F.ceil(F.col("members") / block).cast("int")
     index = index.withColumn("side", F.pmod(F.xxhash64(F.lit(SEED), "class"), parts).cast("int"))
     index = index.withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
     index = index.select(
-        "label", "dims", "hashed", "bucket", F.least("side", "with").alias("block"), F.greatest("side", "with").alias("other"),
-        "side", "probe", "class", "copies", "vector", "keys", F.lit(tables).alias("tables"),
+        *own, F.least("side", "with").alias("block"), F.greatest("side", "with").alias("other"), "side", "probe", "class",
+        F.lit(1 + probes).alias("places"),
     )
+    index = index.join(hashed.select("class", "copies", "vector", "keys"), "class")
     found = settle(_links(index.repartition(*KEYS).sortWithinPartitions(*KEYS), threshold), "vectors-links")
     roots = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")), "vectors-components")
     linked = found.groupBy("class").agg(F.sum("linked").alias("linked"))

@@ -125,11 +125,37 @@ def test_vectors_against_brute_force(spark, block):
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
 
 
-def test_recall_at_the_threshold():
-    draw = np.random.default_rng(1)
-    a, other = draw.normal(size=(2, 2000, 64))
+@pytest.mark.parametrize("vectors,dims", [(1000, 16), (10_000, 64), (3_000_000, 64), (10**9, 64), (10_000, 256), (10_000, 768)])
+def test_recall_at_the_threshold(vectors, dims):
+    draw, n = np.random.default_rng(1), min(2000, 100_000 // dims)
+    a, other = draw.normal(size=(2, n, dims))
     a /= np.linalg.norm(a, axis=1)[:, None]
     other -= (other * a).sum(1)[:, None] * a
     other /= np.linalg.norm(other, axis=1)[:, None]
-    x, y = embeddings.buckets(a), embeddings.buckets(0.93 * a + np.sqrt(1 - 0.93**2) * other)
+    tables, hashes = embeddings.plan(vectors, dims)
+    assert (2 * embeddings._padded(dims)) ** hashes >= vectors
+    x, y = embeddings.buckets(a, tables, hashes), embeddings.buckets(0.93 * a + np.sqrt(1 - 0.93**2) * other, tables, hashes)
     assert ((x[:, :, :1] == y) | (y[:, :, :1] == x)).any((1, 2)).mean() > 0.99
+
+
+def test_vectors_of_many_dimensions_and_a_column_of_nulls(spark):
+    draw = np.random.default_rng(8)
+    long = draw.normal(size=(3, 1000))
+    rows = [(i, (v + draw.normal(size=1000) * 0.01 * k).tolist(), 1) for i, (v, k) in enumerate((v, k) for v in long for k in range(4))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out = {r.vec_id: r.component_id for r in embeddings.near_duplicates(frame).collect()}
+    assert out == {i: i - i % 4 for i in range(12)}
+    none = spark.createDataFrame([(1, None, None), (2, None, None)], "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, embeddings.near_duplicates(none).collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+def test_query_against_all_pairs(spark):
+    rows = [(r.vec_id, list(r.embedding) if r.embedding is not None else None, r.label) for r in queries.table(spark, SF_SMALL, "embeddings").collect()]
+    out = {r.vec_id: r for r in queries.op6_embeddings(spark, SF_SMALL).collect()}
+    links = brute_links(rows)
+    root = roots(len(rows), links)
+    n_links = np.bincount([i for pair in links for i in pair], minlength=len(rows))
+    smallest = {}
+    for (vec_id, *_), top in zip(rows, root):
+        smallest[top] = min(vec_id, smallest.get(top, vec_id))
+    assert all((out[r[0]].n_links, out[r[0]].component_id) == (n_links[i], smallest[root[i]]) for i, r in enumerate(rows))
