@@ -268,3 +268,39 @@ def test_crf_learns_transitions():
     sequences = [np.array([a, odd, a, a]), np.array([b, odd, b, b])] * 10
     model = quality_rules.fit_sequences(sequences, [np.array([1] * 4), np.array([0] * 4)] * 10)
     assert model.viterbi([a, odd, odd, a]) == [1] * 4 and model.viterbi([b, odd, b]) == [0] * 3
+
+
+def test_crf_gradient_matches_differences():
+    draw = np.random.default_rng(6)
+    sequences = [draw.integers(1, 1 << quality_rules.FEATURES, n) for n in (1, 2, 5, 90)]
+    evaluate = quality_rules._objective(sequences, [draw.integers(0, 2, len(s)) for s in sequences], 0.01)
+    p = draw.normal(size=2 * quality_rules.FEATURES + 4)
+    for i in range(len(p)):
+        step = np.eye(len(p))[i] * 1e-5
+        assert evaluate(p)[0][i] == pytest.approx((evaluate(p + step)[1] - evaluate(p - step)[1]) / 2e-5, abs=1e-6)
+
+
+def test_lines_of_mixed_documents_are_told_apart(spark, labelled):
+    docs, labels = labelled
+    model = quality_rules.fit(docs, labels.where("doc_id % 2 = 0"))
+    rows = docs.join(labels.where("doc_id % 2 = 1"), "doc_id").select("quality", "text").collect()
+    lines = {q: [line for r in rows if r.quality == q for line in r.text.split("\n") if line.split()] for q in (0, 1)}
+    draw, right, total, shares = np.random.default_rng(9), 0, 0, []
+    made = []
+    for _ in range(200):
+        runs = [(q, int(draw.integers(3, 9))) for q in (0, 1, 0, 1)][int(draw.integers(2)) :][:3]
+        truth = [q for q, n in runs for _ in range(n)]
+        made.append(("\n".join(lines[q][int(draw.integers(len(lines[q])))] for q in truth), truth))
+    for text, truth in made:
+        found = model.viterbi(quality_rules.lines_of(text.encode())[0])
+        right += sum(a == b for a, b in zip(found, truth))
+        total += len(truth)
+    assert right / total > 0.9
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], "doc_id long, text string")
+    shares = [r.content_share for r in quality_rules.label_documents(frame, model).collect()]
+    assert sum(0 < s < 1 for s in shares) > 0.95 * len(shares)
+
+
+def test_words_of_a_text_of_blanks(spark):
+    frame = spark.createDataFrame([(" " * 1_000_000 + "a" + " \t\r\n\x0b\x0c" * 200_000 + "é",), (" " * 1_000_000,), (None,), ("\xa0",)], "text string")
+    assert [r.n for r in frame.select(mixing.word_count(frame.text).alias("n")).collect()] == [2, 0, 0, 1]
