@@ -18,7 +18,7 @@ from tallyloom.operators import ranking
 from tallyloom.operators.recommend import priority_order
 from tallyloom.sources.files import union_all
 from tallyloom.sources.schema import PRODUCT_KEYS
-from tallyloom.sources.tables import fits_broadcast, settle
+from tallyloom.sources.tables import fits_broadcast, numbered, settle
 
 # Keywords per intent, in the order they are tried, matched anywhere in the lower-case question.
 PRODUCT_INTENT = "product_recommendation"
@@ -96,8 +96,8 @@ CARD_FORECAST_TEXT = (
 CARD_ADVICE_HEADER = "\n\nRecommended actions:"
 CARD_NO_ADVICE = "\n\nNo urgent recommendation was generated for this product based on current rules."
 
-# Lists up to this length are written into the answer; the whole list is always in `answer_lines`.
-INLINE_LINES = 200
+# A list of more lines is written in numbered parts of this many, a row each; no line is left out.
+PART_LINES = 200
 # Length of the text fragments that products and questions are joined on.
 FRAGMENT = 6
 
@@ -277,16 +277,18 @@ def answer_lines(context: Context) -> DataFrame:
     )
 
 
-def _inline(lines: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Per key: the number of lines, and the first `INLINE_LINES` of them in order.
+def _parts(lines: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Per key and part: (keys, part, parts, lines), at most PART_LINES lines in a row, all of them in order."""
+    each = numbered(lines, keys, order, "answer-lines")
+    part = F.floor((F.col("line_no") - 1) / PART_LINES).cast("int") + 1
+    parts = F.ceil(F.col("line_count") / PART_LINES).cast("int")
+    grouped = each.groupBy(*keys, part.alias("part"), parts.alias("parts"))
+    return grouped.agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
 
-    The rank filter cuts each key on the map side, so an array never holds more than `INLINE_LINES` entries.
-    """
-    counts = lines.groupBy(*keys).agg(F.count("*").alias("line_count"))
-    ranked = lines.withColumn("line_no", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    kept = ranked.filter(F.col("line_no") <= INLINE_LINES)
-    arrays = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
-    return counts.join(arrays, keys)
+
+def _headed(header: Column) -> Column:
+    """A header, with the part's number where there are several."""
+    return F.when(F.col("parts") > 1, F.format_string("%s (part %d of %d)", header, "part", "parts")).otherwise(header)
 
 
 def _joined(lines: Column, numbered: Column) -> Column:
@@ -299,9 +301,13 @@ def _joined(lines: Column, numbered: Column) -> Column:
     return F.array_join(text, "\n")
 
 
+def _one_part() -> list[Column]:
+    return [F.lit(1).alias("part"), F.lit(1).alias("parts")]
+
+
 def list_messages(context: Context) -> DataFrame:
-    """One row per list intent: (intent, success, message)."""
-    inlined = _inline(answer_lines(context), ["intent"], ["grade", "measure", "line"])
+    """A row per list intent and part: (intent, part, parts, success, message)."""
+    inlined = _parts(answer_lines(context), ["intent"], ["grade", "measure", "line"])
     entries = [
         F.struct(
             F.lit(intent).alias("intent"),
@@ -312,14 +318,14 @@ def list_messages(context: Context) -> DataFrame:
         for intent, (header, empty_text, success) in LISTS.items()
     ]
     intents = context.performance.sparkSession.range(1).select(F.inline(F.array(*entries)))
-    full = F.concat(
-        F.col("header"), F.lit("\n\n"), _joined(F.col("lines"), F.col("intent") == "top_products")
-    )
-    count, empty = F.col("line_count"), F.col("line_count").isNull()
+    listed = _joined(F.col("lines"), F.col("intent") == "top_products")
+    full, empty = F.concat(_headed(F.col("header")), F.lit("\n\n"), listed), F.col("lines").isNull()
     return intents.join(inlined, "intent", "left").select(
         "intent",
+        F.coalesce("part", F.lit(1)).alias("part"),
+        F.coalesce("parts", F.lit(1)).alias("parts"),
         F.when(empty, F.col("empty_success")).otherwise(True).alias("success"),
-        F.when(empty, F.col("empty_text")).when(count <= INLINE_LINES, full).otherwise(F.col("header")).alias("message"),
+        F.when(empty, F.col("empty_text")).otherwise(full).alias("message"),
     )
 
 
@@ -337,7 +343,7 @@ def summary_message(context: Context) -> DataFrame:
             overstock=F.col("risk.high_overstock_risk_products").cast("string"),
         ).alias("message")
     )
-    return filled.select(F.lit("inventory_summary").alias("intent"), F.lit(True).alias("success"), "message")
+    return filled.select(F.lit("inventory_summary").alias("intent"), *_one_part(), F.lit(True).alias("success"), "message")
 
 
 def forecast_message(context: Context) -> DataFrame:
@@ -349,12 +355,12 @@ def forecast_message(context: Context) -> DataFrame:
         high=F.col("high_forecast_stockout_risk").cast("string"),
     )
     return context.forecast_totals.select(
-        F.lit("forecast_summary").alias("intent"), F.lit(True).alias("success"), filled.alias("message")
+        F.lit("forecast_summary").alias("intent"), *_one_part(), F.lit(True).alias("success"), filled.alias("message")
     )
 
 
 def intent_messages(context: Context) -> DataFrame:
-    """One message per intent that needs no product: eight rows."""
+    """The messages of the eight intents that need no product: a row each, more for lists in parts."""
     return union_all([summary_message(context), forecast_message(context), list_messages(context)])
 
 
@@ -421,9 +427,9 @@ def product_advice_lines(context: Context) -> DataFrame:
 
 
 def product_messages(context: Context) -> DataFrame:
-    """The product answer per product name: (product_key, success, message)."""
+    """The product answer per product name: (product_key, part, parts, success, message), a row per part of its advice."""
     lines = product_advice_lines(context)
-    inlined = _inline(lines, ["product_key"], ["grade", "measure", "product_id", "rule_no", "line"])
+    inlined = _parts(lines, ["product_key"], ["grade", "measure", "product_id", "rule_no", "line"])
     cards = product_cards(context).join(inlined, "product_key", "left")
     card = fill(
         CARD_TEXT,
@@ -442,30 +448,29 @@ def product_messages(context: Context) -> DataFrame:
         risk=F.col("forecast_stockout_risk"),
         confidence=F.col("forecast_confidence"),
     )
-    listed = F.concat(F.lit(CARD_ADVICE_HEADER + "\n"), _joined(F.col("lines"), F.lit(False)))
-    advice = (
-        F.when(F.col("line_count").isNull(), CARD_NO_ADVICE)
-        .when(F.col("line_count") <= INLINE_LINES, listed)
-        .otherwise(CARD_ADVICE_HEADER)
-    )
+    listed = F.concat(_headed(F.lit(CARD_ADVICE_HEADER)), F.lit("\n"), _joined(F.col("lines"), F.lit(False)))
+    advice = F.when(F.col("lines").isNull(), CARD_NO_ADVICE).otherwise(listed)
     message = F.concat(card, F.coalesce(outlook, F.lit("")), advice)
-    return cards.select("product_key", F.lit(True).alias("success"), message.alias("message"))
+    part = [F.coalesce(c, F.lit(1)).alias(c) for c in ("part", "parts")]
+    return cards.select("product_key", *part, F.lit(True).alias("success"), message.alias("message"))
 
 
 # ---------------------------------------------------------------- answers
 
 
 def answers(questions: DataFrame, context: Context) -> DataFrame:
-    """Answer every question: (question_id, question, intent, product_name, answer, tools_used, confidence)."""
+    """Answer every question: (question_id, question, intent, product_name, part, parts, answer, tools_used, confidence); a
+    row per question, more where its list takes several parts.
+    """
     routed = route(questions, context.performance)
     intent, is_product = F.col("intent"), F.col("intent") == PRODUCT_INTENT
     # Questions without a product take their own id as key, so they spread evenly over the product join.
     key = F.when(is_product, F.lower("product_name")).otherwise(F.concat(F.lit("\u0000"), F.col("question_id")))
-    general = intent_messages(context).select("intent", F.struct("success", "message").alias("general"))
-    product = product_messages(context).select("product_key", F.struct("success", "message").alias("product"))
+    general = intent_messages(context).select("intent", F.struct("success", "message", "part", "parts").alias("general"))
+    product = product_messages(context).select("product_key", F.struct("success", "message", "part", "parts").alias("product"))
     joined = (
         routed.withColumn("product_key", key)
-        .join(F.broadcast(general), "intent", "left")  # eight rows, each at most INLINE_LINES lines
+        .join(general, "intent", "left")  # eight rows and more with the lists: Spark broadcasts them while they are small
         .join(product, "product_key", "left")
         .withColumn("result", F.coalesce("product", "general"))
     )
@@ -484,6 +489,7 @@ def answers(questions: DataFrame, context: Context) -> DataFrame:
         "question",
         "intent",
         "product_name",
+        *[F.coalesce(F.col(f"result.{c}"), F.lit(1)).alias(c) for c in ("part", "parts")],
         answer.alias("answer"),
         F.when(empty, F.array().cast("array<string>")).otherwise(F.array(intent)).alias("tools_used"),
         F.when(done & ~empty, "High").otherwise("Low").alias("confidence"),

@@ -81,7 +81,9 @@ def overstock_list(performance: DataFrame) -> DataFrame:
 
 
 def preview(df: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
-    return df.limit(rows)
+    """The first rows by date, store and product, as far as df has these; a top-k per task and one merge of those."""
+    order = [c for c in ("date", "store_id", "product_id") if c in df.columns]
+    return df.orderBy(*order).limit(rows) if order else df.limit(rows)
 
 
 def executive_insights(performance: DataFrame, category: DataFrame, summary: DataFrame) -> DataFrame:

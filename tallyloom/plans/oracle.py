@@ -392,15 +392,17 @@ SELECT intent, CAST(grade AS INTEGER) AS grade, CAST(measure AS DOUBLE) AS measu
   SELECT 'category_performance', 1, -total_revenue, category || ' generated $' || FORMAT('{:,.2f}', total_revenue)
          || ' from ' || FORMAT('{:,}', CAST(total_units_sold AS BIGINT)) || ' units sold.' FROM cat) x""",
     "listed": """
-SELECT intent, COUNT(*) AS line_count,
+SELECT intent, CAST((no - 1) // 200 + 1 AS INTEGER) AS part, CAST((MAX(total) + 199) // 200 AS INTEGER) AS parts,
        STRING_AGG(CASE WHEN intent = 'top_products' THEN no || '. ' ELSE '- ' END || line, CHR(10) ORDER BY no) AS body
-FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY intent ORDER BY grade, measure, line) AS no FROM alines) x
-GROUP BY 1""",
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY intent ORDER BY grade, measure, line) AS no,
+             COUNT(*) OVER (PARTITION BY intent) AS total FROM alines) x
+GROUP BY 1, 2""",
     "msg": """
-SELECT h.intent,
-       CASE WHEN line_count IS NULL THEN ok ELSE TRUE END AS success,
-       CASE WHEN line_count IS NULL THEN nothing WHEN line_count <= 200 THEN header || CHR(10) || CHR(10) || body
-            ELSE header END AS message
+SELECT h.intent, COALESCE(part, 1) AS part, COALESCE(parts, 1) AS parts,
+       CASE WHEN body IS NULL THEN ok ELSE TRUE END AS success,
+       CASE WHEN body IS NULL THEN nothing
+            ELSE header || CASE WHEN parts > 1 THEN ' (part ' || part || ' of ' || parts || ')' ELSE '' END
+              || CHR(10) || CHR(10) || body END AS message
 FROM (VALUES
   ('top_products', 'Top products by revenue:', 'No product data is available.', FALSE),
   ('stockout_risk', 'Stockout risk products:', 'No high or medium stockout-risk products were detected.', TRUE),
@@ -411,13 +413,13 @@ FROM (VALUES
   ('category_performance', 'Category performance:', 'No category performance data is available.', FALSE)
 ) AS h(intent, header, nothing, ok) LEFT JOIN listed USING (intent)
 UNION ALL
-SELECT 'inventory_summary', TRUE, 'Inventory health score is ' || inventory_health_score || '/100. Total revenue is $'
+SELECT 'inventory_summary', 1, 1, TRUE, 'Inventory health score is ' || inventory_health_score || '/100. Total revenue is $'
        || FORMAT('{:,.2f}', total_revenue) || ', units sold are ' || FORMAT('{:,}', total_units_sold)
        || ', and waste value is $' || FORMAT('{:,.2f}', total_waste_value) || '. There are '
        || high_stockout_risk_products || ' high stockout-risk products and ' || high_overstock_risk_products
        || ' high overstock-risk products.' FROM summ, risk
 UNION ALL
-SELECT 'forecast_summary', TRUE, 'Forecast summary for the next 30 days: ' || total_products_forecasted
+SELECT 'forecast_summary', 1, 1, TRUE, 'Forecast summary for the next 30 days: ' || total_products_forecasted
        || ' products were forecasted. Total predicted demand is ' || FORMAT('{:,}', total_predicted_demand)
        || ' units. Recommended reorder quantity is ' || FORMAT('{:,}', total_recommended_reorder) || ' units. '
        || high_forecast_stockout_risk || ' products have high forecast stockout risk.' FROM fsum""",
@@ -433,7 +435,7 @@ SELECT LOWER(p.product_name) AS product_key, p.product_name,
        (SELECT COUNT(*) FROM rec WHERE LOWER(rec.product_name) = LOWER(p.product_name)) AS recommendation_count
 FROM perf p LEFT JOIN fc f ON LOWER(f.product_name) = LOWER(p.product_name)""",
     "pmsg": """
-SELECT product_key, TRUE AS success,
+SELECT product_key, COALESCE(part, 1) AS part, COALESCE(parts, 1) AS parts, TRUE AS success,
        'Product analysis for ' || product_name || ':' || CHR(10) || '- Current stock: ' || current_stock || CHR(10)
        || '- Stockout risk: ' || stockout_risk || CHR(10) || '- Overstock risk: ' || overstock_risk || CHR(10)
        || '- Waste rate: ' || PRINTF('%.1f', waste_rate * 100) || '%' || CHR(10)
@@ -442,11 +444,15 @@ SELECT product_key, TRUE AS success,
          || safety_stock || CHR(10) || '- Recommended reorder quantity: ' || recommended_reorder_quantity || CHR(10)
          || '- Forecast stockout risk: ' || forecast_stockout_risk || CHR(10) || '- Forecast confidence: '
          || forecast_confidence, '')
-       || COALESCE(CHR(10) || CHR(10) || 'Recommended actions:' || CHR(10) || body, CHR(10) || CHR(10)
+       || COALESCE(CHR(10) || CHR(10) || 'Recommended actions:'
+         || CASE WHEN parts > 1 THEN ' (part ' || part || ' of ' || parts || ')' ELSE '' END || CHR(10) || body, CHR(10) || CHR(10)
          || 'No urgent recommendation was generated for this product based on current rules.') AS message
 FROM card LEFT JOIN
-  (SELECT product_key, STRING_AGG('- ' || line, CHR(10) ORDER BY grade, measure, product_id, rule_no) AS body
-   FROM padvice GROUP BY 1) b USING (product_key)""",
+  (SELECT product_key, CAST((no - 1) // 200 + 1 AS INTEGER) AS part, CAST((MAX(total) + 199) // 200 AS INTEGER) AS parts,
+          STRING_AGG('- ' || line, CHR(10) ORDER BY no) AS body
+   FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_key ORDER BY grade, measure, product_id, rule_no, line) AS no,
+                COUNT(*) OVER (PARTITION BY product_key) AS total FROM padvice) x
+   GROUP BY 1, 2) b USING (product_key)""",
     "intro": """
 SELECT * FROM (VALUES
   ('inventory_summary', 'Here is the current inventory overview based on uploaded data.'),
@@ -460,7 +466,7 @@ SELECT * FROM (VALUES
   ('product_recommendation', 'I checked this product using KPIs, forecast, and recommendation rules.')
 ) AS i(intent, intro)""",
     "answered": """
-SELECT question_id, question, r.intent, product_name,
+SELECT question_id, question, r.intent, product_name, COALESCE(p.part, g.part, 1) AS part, COALESCE(p.parts, g.parts, 1) AS parts,
        CASE WHEN r.intent = 'empty_question' THEN 'Please ask a question about inventory, products, forecast, risk, '
               || 'waste, or recommendations.'
             WHEN COALESCE(p.success, g.success) THEN intro || CHR(10) || CHR(10) || COALESCE(p.message, g.message)
@@ -480,6 +486,12 @@ LEDGER_DAY = "CAST(date AS VARCHAR) AS date"
 
 FINAL = {
     "ledger": f"SELECT * REPLACE ({LEDGER_DAY}) FROM inv",
+    "csv_round_trip": f"SELECT * REPLACE ({LEDGER_DAY}) FROM inv",
+    "csv_rejects": """SELECT CAST(date AS VARCHAR) || ',' || store_id || ',' || product_id
+  || CASE WHEN dd = 3 THEN '' ELSE ',' || CAST(sold_quantity AS BIGINT) END || CASE WHEN dd = 17 THEN ',x' ELSE '' END AS line,
+  CASE WHEN dd IN (3, 17) THEN 'reject' ELSE 'kept' END AS status FROM (SELECT *, EXTRACT(DAY FROM date) AS dd FROM inv) x""",
+    "json_records": "SELECT * FROM fc",
+    "preview": f"SELECT * REPLACE ({LEDGER_DAY}) FROM (SELECT * FROM inv ORDER BY date, store_id, product_id LIMIT 50) x",
     "json_safe": "SELECT * REPLACE (CASE WHEN days_of_stock_left < CAST('inf' AS DOUBLE) THEN days_of_stock_left END "
     "AS days_of_stock_left) FROM perf",
     "evaluation_run": """

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tallyloom.operators import evaluation, forecast, kpi, quality, questions, ranking, recommend
 from tallyloom.plans import analysis
 from tallyloom.sources import files, ledger
-from tallyloom.sources.schema import coerce_types
-from tallyloom.sources.tables import settle
+from tallyloom.sources.schema import coerce_types, standardise_columns
+from tallyloom.sources.tables import scratch_folder, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,6 +94,33 @@ def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.duplicate_rows(settle(ledger.dirty_ledger(spark, sf_dir), "dirty-ledger"))
 
 
+def _json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forecast as JSON records, read back by field."""
+    rows = _shared(spark, sf_dir).forecast
+    return files.read_json_records(files.json_records(rows), rows.schema)
+
+
+def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger written as CSV under headers as people type them, and read back."""
+    odd = {"product_name": " Product Name ", "store_id": "Store-ID", "date": "DATE", "opening_stock": "Opening Stock"}
+    path = scratch_folder(spark, "round-trip")
+    files.write_csv(ledger.ledger(spark, sf_dir).withColumnsRenamed(odd), path)
+    return _day_text(coerce_types(standardise_columns(files.read_ledger(spark, path, "csv"))))
+
+
+def _csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a CSV written from the ledger, kept or rejected: on the third of a month a field is missing, on the 17th
+    there is one too many.
+    """
+    path, header = scratch_folder(spark, "rejects"), "date,store_id,product_id,sold"
+    day, sold = F.dayofmonth("date"), F.col("sold_quantity").cast("long").cast("string")
+    line = F.concat_ws(",", F.date_format("date", "yyyy-MM-dd"), "store_id", "product_id", F.when(day != 3, sold), F.when(day == 17, "x"))
+    ledger.ledger(spark, sf_dir).select(line.alias("value")).write.text(path)
+    kept, rejects = files.read_csv_checked(spark, path, header)
+    whole = F.concat_ws(",", *kept.columns)
+    return kept.select(whole.alias("line"), F.lit("kept").alias("status")).unionByName(rejects.select("line", F.lit("reject").alias("status")))
+
+
 def _insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = _analysis(spark, sf_dir)
     return ranking.executive_insights(result.performance, result.category, result.summary)
@@ -148,7 +175,9 @@ def queries() -> dict[str, Query]:
         # sources and sinks
         "ledger": lambda s, d: _day_text(ledger.ledger(s, d)),
         "json_safe": lambda s, d: files.json_safe(Source(s, d).performance),
-        "json_records": lambda s, d: files.json_records(_shared(s, d).forecast),
+        "json_records": _json_records,
+        "csv_round_trip": _csv_round_trip,
+        "csv_rejects": _csv_rejects,
         "evaluation_run": _evaluation_run,
         "analysis_outputs": _analysis_outputs,
         "preview": lambda s, d: _day_text(ranking.preview(ledger.ledger(s, d))),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import functools
 from pathlib import PurePosixPath
 
@@ -40,6 +41,40 @@ def read_ledger(spark: SparkSession, path: str, file_format: str | None = None,
     return blank_null_tokens(raw)
 
 
+def read_csv_checked(spark: SparkSession, path: str, header: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A CSV file, directory or glob as (ledger, rejects): lines whose number of fields is not their header's are rejects.
+
+    Every line is read as text and parsed by Spark's CSV parser in permissive mode, which marks such lines; nothing of
+    them is lost. rejects holds (file, line) as written. All files share a header line, the first one found unless given;
+    it is dropped wherever it occurs, and so are blank lines. Line breaks inside quotes aren't possible here: they would
+    make a file unsplittable.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"))
+    if header is None:
+        first = lines.where(F.trim("line") != "").first()
+        if first is None:
+            raise ValueError(f"No header in {path}")
+        header = first.line
+    columns = next(csv.reader([header]))
+    corrupt = "_line"
+    while corrupt in columns:
+        corrupt += "_"
+    fields = ", ".join(f"`{c.replace('`', '``')}` string" for c in [*columns, corrupt])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt, "escape": '"'}
+    body = lines.where((F.trim("line") != "") & (F.col("line") != header))
+    parsed = body.select("file", "line", F.from_csv("line", F.lit(fields), options).alias("r"))
+    bad = F.col("r").getField(corrupt).isNotNull()
+    ledger = parsed.where(~bad).select(*[F.col("r").getField(c).alias(c) for c in columns])
+    return blank_null_tokens(ledger), parsed.where(bad).select("file", "line")
+
+
+def reject_counts(rejects: DataFrame) -> DataFrame:
+    """(file, reject_count, warning): one row per file with rejected lines."""
+    counts = rejects.groupBy("file").agg(F.count("*").alias("reject_count"))
+    warning = F.concat(F.col("reject_count").cast("string"), F.lit(" lines with a wrong number of fields were left out."))
+    return counts.withColumn("warning", warning)
+
+
 def _format_of(path: str) -> str:
     suffix = PurePosixPath(path).suffix.lower()
     if suffix in READERS:
@@ -81,6 +116,11 @@ def json_records(df: DataFrame) -> DataFrame:
     return json_safe(df).select(record.alias("record"))
 
 
+def read_json_records(records: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows that json_records() wrote, by field."""
+    return records.select(F.from_json("record", schema).alias("r")).select("r.*")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     json_safe(df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 

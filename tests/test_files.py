@@ -8,6 +8,7 @@ from tallyloom.plans import analysis
 from tallyloom.sources import files
 from tallyloom.sources.ledger import ledger
 from tallyloom.sources.schema import standardise_columns
+from tallyloom.sources.tables import numbered
 from tests.conftest import SF_SMALL
 
 
@@ -67,3 +68,25 @@ def test_run_log_appends(spark, tmp_path):
     rows = spark.read.parquet(f"{tmp_path}/runs").collect()
     assert sorted(r.params["window"] for r in rows) == ["14", "7"]
     assert rows[0].metrics == {"mae": 1.5, "evaluated_products": 3.0}
+
+
+def test_lines_with_a_wrong_number_of_fields_are_rejects(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('store_id,Product Name,x\n001,"Say ""hi"", ok",NA\n\n003,short\n004,a,b,c\n005,"q,r",2\n006,,\n')
+    (tmp_path / "b.csv").write_text("store_id,Product Name,x\n007,x,3,\n008\n")
+    kept, rejects = files.read_csv_checked(spark, str(tmp_path))
+    assert kept.columns == ["store_id", "Product Name", "x"]
+    assert sorted(map(tuple, kept.collect()), key=str) == [("001", 'Say "hi", ok', None), ("005", "q,r", "2"), ("006", None, None)]
+    assert sorted(map(tuple, rejects.collect())) == [("a.csv", "003,short"), ("a.csv", "004,a,b,c"), ("b.csv", "007,x,3,"), ("b.csv", "008")]
+    counts = {r.file: (r.reject_count, r.warning) for r in files.reject_counts(rejects).collect()}
+    assert counts == {f: (2, "2 lines with a wrong number of fields were left out.") for f in ("a.csv", "b.csv")}
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "e.csv").write_text("\n")
+    with pytest.raises(ValueError, match="No header"):
+        files.read_csv_checked(spark, str(tmp_path / "empty"))
+
+
+def test_rows_are_numbered_across_ranges(spark):
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 'a', 'hot') k", "id")
+    out = sorted(map(tuple, numbered(rows.repartition(5), ["k"], ["id"], "test").collect()))
+    for key, ids in (("a", range(0, 3000, 3)), ("hot", [i for i in range(3000) if i % 3])):
+        assert [r for r in out if r[0] == key] == [(key, i, n, len(ids)) for n, i in enumerate(ids, 1)]

@@ -130,13 +130,27 @@ def test_empty_results(spark, context):
     assert got["general_recommendations"].confidence == "High"
 
 
-def test_long_lists_stay_whole_in_the_lines(spark, context, monkeypatch):
-    monkeypatch.setattr(questions, "INLINE_LINES", 1)
-    messages = {r.intent: r.message for r in questions.list_messages(context).collect()}
-    assert messages["category_performance"] == "Category performance:"
-    assert messages["stockout_risk"].count("\n- ") == 1
-    lines = questions.answer_lines(context).filter("intent = 'category_performance'").orderBy("measure").collect()
-    assert [r.line.split()[0] for r in lines] == ["Food", "Beverage"]
+@pytest.mark.parametrize("count", [199, 200, 201, 1000])
+def test_long_lists_come_in_numbered_parts(spark, context, count):
+    category = spark.range(count).selectExpr("concat('C', id) category", "double(1000000 - id) total_revenue", "double(1) total_units_sold")
+    long = questions.Context(
+        context.summary, context.risk, context.performance, category, context.advice, context.forecast, context.forecast_totals
+    )
+    rows = [r for r in questions.answers(asked(spark, ["category", "top"]), long).collect() if r.intent == "category_performance"]
+    rows.sort(key=lambda r: r.part)
+    parts = -(-count // 200)
+    assert [(r.part, r.parts) for r in rows] == [(i + 1, parts) for i in range(parts)]
+    lines = [line for r in rows for line in r.answer.split("\n") if line.startswith("- ")]
+    assert [line.split()[1] for line in lines] == [f"C{i}" for i in range(count)]
+    assert all(r.answer.count("\n- ") <= 200 and (f"(part {r.part} of {parts})" in r.answer) == (parts > 1) for r in rows)
+
+
+def test_long_advice_comes_in_numbered_parts(spark, context, monkeypatch):
+    monkeypatch.setattr(questions, "PART_LINES", 1)
+    whole = {r.product_key: r.n for r in questions.product_advice_lines(context).groupBy("product_key").count().withColumnRenamed("count", "n").collect()}
+    rows = [r for r in questions.product_messages(context).collect() if r.product_key in whole]
+    assert {k: sum(r.product_key == k for r in rows) for k in whole} == whole
+    assert all(r.message.count("\n- [") == 1 and r.parts == whole[r.product_key] for r in rows)
 
 
 NAMES = ["Tea", "Green Tea", "T", "Organic Green Tea Deluxe", "Ölfass", "organic", "x y", "Café au lait", "aaaaaaaa", "ab"]

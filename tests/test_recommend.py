@@ -90,6 +90,8 @@ def test_rankings(products):
     assert ranking.top_recommendations(advice, 2).count() == 2
     assert ranking.top_products(df.limit(0)).count() == 0
     assert ranking.preview(df, 2).count() == 2
+    days = df.sparkSession.range(9).selectExpr("date_add(date'2025-10-09', -cast(id as int)) date", "'S' store_id", "id product_id")
+    assert [r.product_id for r in ranking.preview(days.repartition(3), 3).collect()] == [8, 7, 6]
 
 
 def test_insights(products, spark):
