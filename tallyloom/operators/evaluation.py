@@ -22,9 +22,9 @@ def forecast_eval(demand: DataFrame, window_days: int = WINDOW_DAYS, test_days:
     rank filter lets Spark cut each product to that many rows before the shuffle.
     """
     if window_days <= 0:
-        raise ValueError("recent_window_days must be greater than 0.")
+        raise ValueError(f"window_days must be greater than 0, got {window_days}")
     if test_days <= 0:
-        raise ValueError("test_window_days must be greater than 0.")
+        raise ValueError(f"test_days must be greater than 0, got {test_days}")
     needed = window_days + test_days + 1
     product = Window.partitionBy("product_id")
     newest_first = product.orderBy(F.desc("date"), F.desc("product_name"), F.desc("category"))

@@ -40,7 +40,9 @@ RECOMMENDATION_TABLE = (
 STOCKOUT_TABLE = (
     "product_name", "category", "current_stock", "avg_daily_demand", "days_of_stock_left", "stockout_risk",
 )
-OVERSTOCK_TABLE = STOCKOUT_TABLE[:-1] + ("overstock_risk",)
+OVERSTOCK_TABLE = (
+    "product_name", "category", "current_stock", "avg_daily_demand", "days_of_stock_left", "overstock_risk",
+)
 PRODUCT_BRIEF = (
     "product_name", "category", "total_revenue", "total_units_sold", "current_stock", "stockout_risk",
     "overstock_risk", "product_health_score",
