@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from decimal import Decimal
 
@@ -20,6 +21,14 @@ DATE_FORMATS = (
     "M/d/yyyy",
 )
 
+# Day layouts that a date column may follow; where two fit as many cells, the earlier one counts.
+DAY_LAYOUTS = (
+    "yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "d.M.yyyy", "d-M-yyyy", "yyyyMMdd",
+    "d-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM d, yyyy",
+)
+# A time of day after the day, with or without a zone.
+CLOCK_PATTERN = r"[T ]([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d([.,]\d+)?)?\s?([AaPp][Mm])?\s?(Z|UTC|[+-]\d\d:?\d\d)?$"
+
 # Fixed value: what counts as a number in text. Keeps Java suffixes such as '1d' and grouped digits out.
 NUMBER_PATTERN = r"(?i)^\s*[+-]?(\d+\.?\d*([e][+-]?\d+)?|\.\d+([e][+-]?\d+)?|inf|infinity)\s*$"
 
@@ -43,6 +52,19 @@ def parse_day(column: Column, data_type: T.DataType, formats: Iterable[str] = DA
     return F.coalesce(*[F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in formats])
 
 
+def parse_layout(column: Column, layout: str) -> Column:
+    """Calendar day as written, from text in one of DAY_LAYOUTS and perhaps a time of day; anything else becomes NULL."""
+    day = F.regexp_replace(F.trim(column), CLOCK_PATTERN, "")
+    return F.when(day.rlike(_shape(layout)), F.to_date(F.try_to_timestamp(day, F.lit(layout))))
+
+
+def _shape(layout: str) -> str:
+    """What text in the layout looks like: far cheaper to test than a date that can't be read."""
+    kinds = {"yyyy": r"\d{4}", "MM": r"\d{2}", "dd": r"\d{2}", "M": r"\d{1,2}", "d": r"\d{1,2}", "MMM": r"\w{3}", "MMMM": r"\w{3,9}"}
+    runs = re.findall(r"y+|M+|d+|[^yMd]", layout)
+    return "^" + "".join(kinds.get(r) or re.escape(r) for r in runs) + "$"
+
+
 def finite_or_zero(value: Column) -> Column:
     """NULL, NaN and infinities become 0 (NaN sorts above infinity in Spark, so one comparison is enough)."""
     return F.when(F.abs(value) < F.lit(INF), value).otherwise(F.lit(0.0))

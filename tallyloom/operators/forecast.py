@@ -30,14 +30,15 @@ def daily_demand(daily: DataFrame) -> DataFrame:
     return keyed.groupBy("date", *PRODUCT_KEYS).agg(F.sum("sold_quantity").alias("sold_quantity"))
 
 
-def _selling_days(demand: DataFrame) -> DataFrame:
+def _selling_days(demand: DataFrame, clustered: bool) -> DataFrame:
     """One row per product and selling day, clustered by product for everything that follows.
 
-    The input is aggregated by day, so a product has at most one row per variant and day here.
+    The input is aggregated by day, so a product has at most one row per variant and day here. Demand over a bucketed
+    rollup is clustered as it is read.
     """
+    dealt = demand if clustered else demand.repartition("product_id")
     return (
-        demand.repartition("product_id")
-        .groupBy("product_id", "date")
+        dealt.groupBy("product_id", "date")
         .agg(
             F.sum("sold_quantity").alias("sold_quantity"),
             F.min(F.struct("product_name", "category")).alias("label"),
@@ -45,7 +46,7 @@ def _selling_days(demand: DataFrame) -> DataFrame:
     )
 
 
-def demand_calendar(demand: DataFrame) -> DataFrame:
+def demand_calendar(demand: DataFrame, clustered: bool = False) -> DataFrame:
     """Every day from the first to the last sale of each product; days without a row have demand 0.
 
     Each selling day expands to the days before the next one, so the fill needs no calendar table and no join, and a
@@ -53,7 +54,7 @@ def demand_calendar(demand: DataFrame) -> DataFrame:
     """
     ahead = F.lead("date").over(Window.partitionBy("product_id").orderBy("date"))
     until = F.coalesce(F.date_sub("next_date", 1), F.col("date"))
-    days = _selling_days(demand).withColumn("next_date", ahead)
+    days = _selling_days(demand, clustered).withColumn("next_date", ahead)
     filled = days.withColumn("day", F.explode(F.sequence("date", until)))
     return filled.select(
         F.col("day").alias("date"),
@@ -64,7 +65,7 @@ def demand_calendar(demand: DataFrame) -> DataFrame:
     )
 
 
-def demand_windows(demand: DataFrame, window_days: int = WINDOW_DAYS) -> DataFrame:
+def demand_windows(demand: DataFrame, window_days: int = WINDOW_DAYS, clustered: bool = False) -> DataFrame:
     """Per product: length of history, mean, spread, and the means of the recent and the previous window.
 
     Figures are over calendar days, computed from selling days alone: a day without sales adds nothing to a sum, and
@@ -75,7 +76,7 @@ def demand_windows(demand: DataFrame, window_days: int = WINDOW_DAYS) -> DataFra
     w = F.lit(window_days)
     last = F.max("date").over(Window.partitionBy("product_id"))
     first = F.min("date").over(Window.partitionBy("product_id"))
-    placed = _selling_days(demand).withColumns({"last": last, "first": first})
+    placed = _selling_days(demand, clustered).withColumns({"last": last, "first": first})
     placed = placed.withColumns(
         {"day_no": F.date_diff("date", "first"), "history_days": F.date_diff("last", "first") + 1}
     )
@@ -125,11 +126,12 @@ def product_forecast(
     performance: DataFrame,
     horizon_days: int = HORIZON_DAYS,
     window_days: int = WINDOW_DAYS,
+    clustered: bool = False,
 ) -> DataFrame:
     """Forecast per product: recent mean with a capped trend, safety stock, reorder quantity, risk, confidence."""
     if horizon_days <= 0:
         raise ValueError("forecast_horizon_days must be greater than 0.")
-    windows = demand_windows(demand, window_days)
+    windows = demand_windows(demand, window_days, clustered)
     known = windows.join(stock_by_product(performance), "product_id", "left")
     recent, previous = F.col("recent_avg_daily_demand"), F.col("previous_avg_daily_demand")
     change, stock = F.col("change"), F.col("current_stock")

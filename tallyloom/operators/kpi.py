@@ -93,9 +93,19 @@ class Rollups:
     latest: DataFrame
 
 
+def merged_daily(parts: DataFrame) -> DataFrame:
+    """One daily rollup from the rows of several: all its figures are sums."""
+    return parts.groupBy("date", *PRODUCT_KEYS).agg(
+        *[F.sum(c).alias(c) for c in ("row_count", *UNIT_COLUMNS)], *money_resums(MONEY_COLUMNS)
+    )
+
+
+def slim_latest(latest: DataFrame) -> DataFrame:
+    return latest.select("store_id", *PRODUCT_KEYS, "closing_stock", "closing_inventory_value")
+
+
 def roll_up(enriched: DataFrame) -> Rollups:
-    slim = ("store_id", *PRODUCT_KEYS, "closing_stock", "closing_inventory_value")
-    return Rollups(daily_rollup(enriched), latest_snapshot(enriched).select(*slim))
+    return Rollups(daily_rollup(enriched), slim_latest(latest_snapshot(enriched)))
 
 
 def stacked(rollups: Rollups) -> DataFrame:
@@ -119,6 +129,18 @@ def settled(rollups: Rollups) -> Rollups:
     return Rollups(daily, latest.select(*rollups.latest.columns))
 
 
+def bucketed(daily: DataFrame, name: str, path: str, buckets: int = 64) -> DataFrame:
+    """The daily rollup as a table in buckets of product ids, one sorted file each, and read back.
+
+    What groups or ranks by product over it needs no exchange of its own. Choose the number of buckets so that a bucket
+    fits a core's memory; a product has at most one row per day and variant in it.
+    """
+    dealt = daily.repartition(buckets, "product_id")
+    writer = dealt.write.bucketBy(buckets, "product_id").sortBy("product_id", "date")
+    writer.option("path", path).mode("overwrite").format("parquet").saveAsTable(name)
+    return daily.sparkSession.table(name)
+
+
 # ---------------------------------------------------------------- aggregates
 
 

@@ -13,6 +13,7 @@ from tallyloom.sources.schema import (
     REQUIRED_COLUMNS,
     STOCK_COLUMNS,
     coerce_types,
+    day_layout,
     missing_columns,
     standardise_columns,
 )
@@ -134,9 +135,9 @@ def duplicate_rows(raw: DataFrame) -> DataFrame:
     return copies.agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("duplicate_rows"))
 
 
-def all_counts(raw: DataFrame) -> DataFrame:
+def all_counts(raw: DataFrame, layout: str | None = None) -> DataFrame:
     """Every check count plus `row_count`, in one row: one main scan, with subqueries for the outlier limit and the copies."""
-    coerced = coerce_types(raw)
+    coerced = coerce_types(raw, layout)
     counted = coerced.withColumn("outlier_limit", outlier_threshold(coerced)).agg(
         F.count("*").alias("row_count"),
         *coerce_count_exprs(),
@@ -177,7 +178,10 @@ class Validation:
 
 
 def validate(df: DataFrame) -> Validation:
-    """Check a ledger. Without all required columns nothing else is checked."""
+    """Check a ledger. Without all required columns nothing else is checked.
+
+    Text dates are read in the one layout that most cells of the column follow; a cell in another one is an invalid date.
+    """
     named = standardise_columns(df)
     missing = missing_columns(named)
     if missing:
@@ -192,4 +196,5 @@ def validate(df: DataFrame) -> Validation:
             F.array(*[F.lit(c) for c in named.columns]).alias("columns"),
         )
         return Validation(report, named)
-    return Validation(score_report(all_counts(named), named.columns), coerce_types(named))
+    layout = day_layout(named)
+    return Validation(score_report(all_counts(named, layout), named.columns), coerce_types(named, layout))

@@ -100,6 +100,8 @@ CARD_NO_ADVICE = "\n\nNo urgent recommendation was generated for this product ba
 PART_LINES = 200
 # Length of the text fragments that products and questions are joined on.
 FRAGMENT = 6
+# Hash slots in which fragments of questions are counted.
+TRAFFIC_SLOTS = 65_536
 
 
 @dataclass(frozen=True)
@@ -156,15 +158,31 @@ def with_name(df: DataFrame) -> DataFrame:
     return df.dropna(subset=["product_name"])
 
 
-def _anchored(names: DataFrame) -> DataFrame:
-    """Give every name one fragment to be found by: the one fewest names share, or all of a short name."""
+def _slot(fragment: Column) -> Column:
+    return F.pmod(F.xxhash64(fragment), F.lit(TRAFFIC_SLOTS)).cast("int")
+
+
+def fragment_traffic(texts: DataFrame) -> DataFrame:
+    """(slot, traffic): how many fragments of the texts fall into each of TRAFFIC_SLOTS hash slots.
+
+    All texts are counted, combined before the shuffle; the table has at most TRAFFIC_SLOTS rows whatever their number.
+    """
+    slots = F.transform(_fragments(F.col("text"), [FRAGMENT]), _slot)
+    return texts.select(F.explode(slots).alias("slot")).groupBy("slot").agg(F.count("*").alias("traffic"))
+
+
+def _anchored(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """Give every name one fragment to be found by: the one rarest among the texts, then among names; or all of a short
+    name. A fragment that many texts hold would make all of them candidates of the name.
+    """
     cut = names.select("lower_name", F.explode(_fragments(F.col("lower_name"), [FRAGMENT])).alias("fragment"))
-    cut = cut.distinct()
+    traffic = F.broadcast(fragment_traffic(texts))  # at most TRAFFIC_SLOTS rows of 12 bytes
+    cut = cut.distinct().withColumn("slot", _slot(F.col("fragment"))).join(traffic, "slot", "left")
     shared = cut.groupBy("fragment").agg(F.count("*").alias("sharers"))
     rarest = (
         cut.join(shared, "fragment")
         .groupBy("lower_name")
-        .agg(F.min_by("fragment", F.struct("sharers", "fragment")).alias("rarest"))
+        .agg(F.min_by("fragment", F.struct(F.coalesce("traffic", F.lit(0)), "sharers", "fragment")).alias("rarest"))
     )
     anchored = names.join(rarest, "lower_name", "left")
     return anchored.withColumn("fragment", F.coalesce("rarest", "lower_name")).drop("rarest")
@@ -177,10 +195,10 @@ def product_mentions(questions: DataFrame, performance: DataFrame) -> DataFrame:
     revenue order wins. Instead of testing every name against every question, both sides are joined on a fragment
     that any question containing the name must contain, and only those candidates are compared.
     """
-    names = settle(_anchored(_named_products(performance)), "product-names")
+    texts = questions.select("question_id", F.lower("question").alias("text"))
+    names = settle(_anchored(_named_products(performance), texts), "product-names")
     short = names.filter(F.length("fragment") < FRAGMENT).select(F.length("fragment").alias("size")).distinct()
     lengths = [FRAGMENT, *sorted(row["size"] for row in short.collect())]  # at most FRAGMENT rows
-    texts = questions.select("question_id", F.lower("question").alias("text"))
     fragment = F.explode(_fragments(F.col("text"), lengths)).alias("fragment")
     if fits_broadcast(names):
         candidates = texts.select("question_id", "text", fragment).join(F.broadcast(names), "fragment")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import evaluation, forecast, kpi, quality, questions, recommend
 from tallyloom.sources import files
+from tallyloom.sources.schema import standardise_columns
 from tallyloom.sources.tables import settle
 
 # Fixed value: answer while the ledger does not pass validation.
@@ -118,8 +120,60 @@ def analyze(ledger: DataFrame) -> Analysis | Rejected:
     return build(kpi.enrich(validation.cleaned), validation.report)
 
 
-def ask(asked: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Answers for a table of questions (question_id, question)."""
+def ledger_identity(ledger: DataFrame) -> str:
+    """A digest of a ledger's rows as they stand, whatever their order: one pass, combined before the shuffle."""
+    named = standardise_columns(ledger)
+    columns = sorted(named.columns)
+    quoted = ["`" + c.replace("`", "``") + "`" for c in columns]
+    low, high = F.xxhash64(*quoted), F.xxhash64(F.lit(1), *quoted)
+    found = named.agg(
+        F.count("*").alias("rows"),
+        F.sum(low.cast("decimal(38,0)")).alias("low"),
+        F.sum(high.cast("decimal(38,0)")).alias("high"),
+    )
+    types = [f"{c} {named.schema[c].dataType.simpleString()}" for c in columns]
+    text = F.concat_ws("|", F.lit("|".join(types)), "rows", "low", "high")
+    return found.select(F.sha2(text, 256).alias("identity")).first().identity
+
+
+def save_context(context: questions.Context, folder: str, identity: str) -> None:
+    """Write what answers are taken from below the folder, under the ledger's identity.
+
+    The list of its tables is written last: a save that was broken off can't be opened, and the next one replaces it.
+    """
+    base = f"{folder.rstrip('/')}/{identity}"
+    names = [f.name for f in fields(context)]
+    for name in names:
+        getattr(context, name).write.mode("overwrite").parquet(f"{base}/{name}")
+    session = context.summary.sparkSession
+    session.range(len(names)).selectExpr("id", f"'{identity}' identity").write.mode("overwrite").parquet(f"{base}/saved")
+
+
+def open_context(spark: SparkSession, folder: str, identity: str) -> questions.Context | None:
+    """The context saved for the ledger of this identity, or None."""
+    base = f"{folder.rstrip('/')}/{identity}"
+    try:
+        saved = spark.read.parquet(f"{base}/saved").where(F.col("identity") == identity).count()
+    except AnalysisException as exc:
+        if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    names = [f.name for f in fields(questions.Context)]
+    if saved != len(names):
+        return None
+    return questions.Context(**{n: spark.read.parquet(f"{base}/{n}") for n in names})
+
+
+def ask(asked: DataFrame, ledger: DataFrame, contexts: str | None = None) -> DataFrame:
+    """Answers for a table of questions (question_id, question).
+
+    With a folder for contexts, the analysis of a valid ledger is saved there and opened again by later calls over the same
+    rows; a ledger that has changed is analysed anew.
+    """
+    if contexts:
+        identity = ledger_identity(ledger)
+        if (opened := open_context(asked.sparkSession, contexts, identity)) is not None:
+            return questions.answers(asked, opened)
     result = analyze(ledger)
     if isinstance(result, Rejected):
         verdict = result.report.select(
@@ -128,7 +182,11 @@ def ask(asked: DataFrame, ledger: DataFrame) -> DataFrame:
         return asked.withColumn("verdict", verdict).select(
             "question_id", "question", "verdict.*", F.lit(INVALID_ANSWER).alias("answer")
         )
-    return questions.answers(asked, result.context())
+    context = result.context()
+    if contexts:
+        save_context(context, contexts, identity)
+        context = open_context(asked.sparkSession, contexts, identity)
+    return questions.answers(asked, context)
 
 
 @dataclass(frozen=True)
@@ -164,8 +222,8 @@ def evaluate(
     return EvaluationRun(rows, metrics, record)
 
 
-def write_evaluation(run: EvaluationRun, folder: str) -> None:
-    """Evaluation rows as CSV, and one more row in the run log."""
+def write_evaluation(run: EvaluationRun, folder: str, run_id: str | None = None) -> None:
+    """Evaluation rows as CSV, and one more row in the run log; with a run id a rerun replaces its own row."""
     base = folder.rstrip("/")
     files.write_csv(run.rows, f"{base}/forecast_evaluation_results")
-    files.append_run(run.record, f"{base}/runs")
+    files.append_run(run.record, f"{base}/runs", run_id)

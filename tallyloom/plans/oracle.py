@@ -490,6 +490,14 @@ FINAL = {
     "csv_rejects": """SELECT CAST(date AS VARCHAR) || ',' || store_id || ',' || product_id
   || CASE WHEN dd = 3 THEN '' ELSE ',' || CAST(sold_quantity AS BIGINT) END || CASE WHEN dd = 17 THEN ',x' ELSE '' END AS line,
   CASE WHEN dd IN (3, 17) THEN 'reject' ELSE 'kept' END AS status FROM (SELECT *, EXTRACT(DAY FROM date) AS dd FROM inv) x""",
+    "date_layouts": """
+SELECT written, written AS found, bad_date, day_sum
+FROM (VALUES ('yyyy-M-d'), ('yyyy/M/d'), ('M/d/yyyy'), ('d/M/yyyy'), ('d.M.yyyy'), ('d-M-yyyy'), ('yyyyMMdd'), ('d-MMM-yyyy'),
+             ('d MMM yyyy'), ('MMM d, yyyy'), ('d MMMM yyyy'), ('MMMM d, yyyy')) AS l(written),
+     (SELECT COUNT(*) FILTER (date IS NULL) AS bad_date, CAST(SUM(date - DATE '1970-01-01') AS BIGINT) AS day_sum FROM typed) x""",
+    "ledger_between": f"SELECT * REPLACE ({LEDGER_DAY}) FROM inv WHERE date BETWEEN DATE '1995-02-10' AND DATE '1995-05-09'",
+    "product_performance_stored": "SELECT * FROM perf",
+    "product_forecast_bucketed": "SELECT * FROM fc",
     "json_records": "SELECT * FROM fc",
     "preview": f"SELECT * REPLACE ({LEDGER_DAY}) FROM (SELECT * FROM inv ORDER BY date, store_id, product_id LIMIT 50) x",
     "json_safe": "SELECT * REPLACE (CASE WHEN days_of_stock_left < CAST('inf' AS DOUBLE) THEN days_of_stock_left END "
@@ -590,6 +598,7 @@ FROM perf WHERE stockout_risk IN ('High', 'Medium')""",
     "intent_messages": "SELECT * FROM msg",
     "product_messages": "SELECT * FROM pmsg",
     "answers": "SELECT * FROM answered",
+    "answers_saved": "SELECT * FROM answered",
 }
 # Queries over the clean ledger where the report block otherwise reads the defective one.
 CLEAN = {"validation_report_clean", "evaluation_run"}

@@ -6,14 +6,16 @@ Days come out as ISO text and lists of messages as lines of text, so results com
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.numeric import DAY_LAYOUTS
 from tallyloom.operators import evaluation, forecast, kpi, quality, questions, ranking, recommend
-from tallyloom.plans import analysis
+from tallyloom.plans import analysis, increments
 from tallyloom.sources import files, ledger
-from tallyloom.sources.schema import coerce_types, standardise_columns
+from tallyloom.sources.schema import coerce_types, day_layout, standardise_columns
 from tallyloom.sources.tables import scratch_folder, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,6 +123,52 @@ def _csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(whole.alias("line"), F.lit("kept").alias("status")).unionByName(rejects.select("line", F.lit("reject").alias("status")))
 
 
+def _date_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The defective ledger with its dates written in every layout, some with a time of day: what is found and read."""
+    dirty = settle(ledger.dirty_ledger(spark, sf_dir), "dirty-ledger")
+    day, clocks = F.try_to_date("date", "yyyy-MM-dd"), ("", " 08:30", "T00:00:00Z", " 23:59:59.5+02:00")
+    out = []
+    for i, layout in enumerate(DAY_LAYOUTS):
+        written = F.concat(F.date_format(day, layout), F.lit(clocks[i % len(clocks)]))
+        text = dirty.withColumn("date", F.coalesce(written, "date"))
+        found = day_layout(text)
+        read = coerce_types(text, found).agg(
+            F.count_if(F.col("date").isNull()).alias("bad_date"), F.sum(F.unix_date("date").cast("long")).alias("day_sum")
+        )
+        out.append(read.select(F.lit(layout).alias("written"), F.lit(found).alias("found"), "bad_date", "day_sum"))
+    return files.union_all(out)
+
+
+def _ledger_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a quarter, from the ledger written by month."""
+    path = scratch_folder(spark, "by-month")
+    files.write_by_month(ledger.ledger(spark, sf_dir), path)
+    return _day_text(files.read_days(spark, path, date(1995, 2, 10), date(1995, 5, 9)))
+
+
+def _stored_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product performance over rollups that grew by three increments, of which one came twice."""
+    rows, folder = Source(spark, sf_dir).enriched, scratch_folder(spark, "increments")
+    third = F.pmod(F.unix_date("date"), F.lit(3))
+    for part in (0, 1, 2, 1):
+        increments.add_increment(rows.where(third == part), folder, f"part{part}")
+    return kpi.product_performance(increments.stored_rollups(spark, folder))
+
+
+def _bucketed_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forecast over a daily rollup in buckets of products."""
+    source, path = _shared(spark, sf_dir), scratch_folder(spark, "buckets")
+    daily = kpi.bucketed(source.rollups.daily, "daily_" + path.rsplit("-", 1)[1], path, 8)
+    return forecast.product_forecast(forecast.daily_demand(daily), source.performance, clustered=True)
+
+
+def _saved_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers over a context saved by an earlier call."""
+    stored, asked, folder = _stored_ledger(spark, sf_dir), ledger.questions(spark, sf_dir), scratch_folder(spark, "contexts")
+    analysis.ask(asked, stored, folder)
+    return analysis.ask(asked, stored, folder).withColumn("tools_used", F.array_join("tools_used", ","))
+
+
 def _insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = _analysis(spark, sf_dir)
     return ranking.executive_insights(result.performance, result.category, result.summary)
@@ -178,6 +226,10 @@ def queries() -> dict[str, Query]:
         "json_records": _json_records,
         "csv_round_trip": _csv_round_trip,
         "csv_rejects": _csv_rejects,
+        "date_layouts": _date_layouts,
+        "ledger_between": _ledger_between,
+        "product_performance_stored": _stored_performance,
+        "product_forecast_bucketed": _bucketed_forecast,
         "evaluation_run": _evaluation_run,
         "analysis_outputs": _analysis_outputs,
         "preview": lambda s, d: _day_text(ranking.preview(ledger.ledger(s, d))),
@@ -245,4 +297,5 @@ def queries() -> dict[str, Query]:
         "intent_messages": lambda s, d: questions.intent_messages(_context(s, d)),
         "product_messages": lambda s, d: questions.product_messages(_context(s, d)),
         "answers": _answers,
+        "answers_saved": _saved_answers,
     }

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import csv
 import functools
+import uuid
+from datetime import date
 from pathlib import PurePosixPath
 
 from pyspark.errors import AnalysisException
@@ -21,6 +23,9 @@ NULL_TOKENS = (
 
 READERS = {".csv": "csv", ".parquet": "parquet"}
 SPREADSHEETS = (".xlsx", ".xls")
+# Partition column of a ledger written by month, and its value for rows without a date.
+MONTH = "ledger_month"
+NO_MONTH = "none"
 
 
 def read_ledger(spark: SparkSession, path: str, file_format: str | None = None, multiline: bool = False) -> DataFrame:
@@ -142,8 +147,36 @@ def run_record(run_name: str, params: dict[str, object], metrics: DataFrame) ->
     )
 
 
-def append_run(record: DataFrame, path: str) -> None:
-    record.write.mode("append").parquet(path)
+def append_run(record: DataFrame, path: str, run_id: str | None = None) -> None:
+    """Add a run to the log, a partition per run id. A job that runs again under its id replaces its own row alone."""
+    named = record.withColumn("run_id", F.lit(run_id or uuid.uuid4().hex))
+    replace_partitions(named, path, "run_id")
+
+
+def replace_partitions(df: DataFrame, path: str, *keys: str) -> None:
+    """Write the frame in folders by key; folders of keys that it holds are replaced, all others stay.
+
+    Written a second time it leaves the same rows. A key that has no rows any more keeps its old folder.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def write_by_month(df: DataFrame, path: str) -> None:
+    """Write a ledger in a folder per month ("none" for rows without a date), replacing the months that it holds.
+
+    Rows are dealt by month in even parts, so that a crowded month is several files rather than one task.
+    """
+    month = F.coalesce(F.date_format("date", "yyyy-MM"), F.lit(NO_MONTH))
+    replace_partitions(df.withColumn(MONTH, month).hint("rebalance", MONTH), path, MONTH)
+
+
+def read_days(spark: SparkSession, path: str, first: date, last: date) -> DataFrame:
+    """Ledger rows from the first to the last day, of a folder of write_by_month; other months aren't read."""
+    months = F.col(MONTH).between(first.strftime("%Y-%m"), last.strftime("%Y-%m"))
+    # Without inference of partition values a month stays text.
+    schema = spark.read.parquet(path).schema
+    typed = T.StructType([T.StructField(f.name, T.StringType()) if f.name == MONTH else f for f in schema.fields])
+    return spark.read.schema(typed).parquet(path).where(months & F.col("date").between(first, last)).drop(MONTH)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.functions.numeric import parse_day, parse_number
+from tallyloom.functions.numeric import DAY_LAYOUTS, parse_day, parse_layout, parse_number
 
 # The columns a ledger must have, in this order.
 REQUIRED_COLUMNS = (
@@ -54,10 +54,27 @@ def require_columns(df: DataFrame, purpose: str, required: Iterable[str] = REQUI
         raise ValueError(f"Missing required columns for {purpose}: {missing}")
 
 
-def coerce_types(df: DataFrame) -> DataFrame:
-    """Force the ledger types in one projection; unreadable values become NULL, extra columns pass through."""
+def day_layout(df: DataFrame, column: str = "date") -> str | None:
+    """The layout of DAY_LAYOUTS that most cells of a text column follow, the first of them where several fit as many.
+
+    One pass over that column alone, without a shuffle of rows; one row of counts reaches the driver. None if the column
+    isn't text or no cell fits any layout.
+    """
+    if not isinstance(df.schema[column].dataType, T.StringType):
+        return None
+    counts = df.agg(*[F.count(parse_layout(F.col(column), f)).alias(f"fits{i}") for i, f in enumerate(DAY_LAYOUTS)]).first()
+    most = max(counts)
+    return DAY_LAYOUTS[counts.index(most)] if most else None
+
+
+def coerce_types(df: DataFrame, layout: str | None = None) -> DataFrame:
+    """Force the ledger types in one projection; unreadable values become NULL, extra columns pass through.
+
+    With a layout (see day_layout) text dates must follow it; without one every cell may follow any of DATE_FORMATS.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
-    parsed = {"date": parse_day(F.col("date"), types["date"])}
+    in_layout = layout and isinstance(types["date"], T.StringType)
+    parsed = {"date": parse_layout(F.col("date"), layout) if in_layout else parse_day(F.col("date"), types["date"])}
     parsed |= {c: parse_number(F.col(c), types[c]) for c in NUMERIC_COLUMNS}
     parsed |= {c: F.col(c).cast("string") for c in KEY_COLUMNS if not isinstance(types[c], T.StringType)}
     return df.withColumns(parsed)

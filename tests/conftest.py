@@ -18,11 +18,8 @@ LEDGER_TYPES = (
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    session = local_session(4, shuffle_partitions=4, memory="4g")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
-    return session
+def spark():
+    return local_session(4, shuffle_partitions=4, memory="4g")
 
 
 @pytest.fixture(scope="session")

@@ -1,5 +1,8 @@
+import contextlib
+import io
 import json
 import math
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +93,34 @@ def test_rows_are_numbered_across_ranges(spark):
     out = sorted(map(tuple, numbered(rows.repartition(5), ["k"], ["id"], "test").collect()))
     for key, ids in (("a", range(0, 3000, 3)), ("hot", [i for i in range(3000) if i % 3])):
         assert [r for r in out if r[0] == key] == [(key, i, n, len(ids)) for n, i in enumerate(ids, 1)]
+
+
+def test_a_rerun_replaces_its_own_run_alone(spark, tmp_path):
+    for value, run in ((1.0, "a"), (2.0, "b"), (3.0, "a")):
+        metrics = spark.createDataFrame([(value,)], "mae double")
+        files.append_run(files.run_record("run", {"x": 1}, metrics), f"{tmp_path}/runs", run)
+    rows = spark.read.parquet(f"{tmp_path}/runs").collect()
+    assert sorted((r.run_id, r.metrics["mae"]) for r in rows) == [("a", 3.0), ("b", 2.0)]
+
+
+def test_months_outside_the_range_are_not_read(spark, tmp_path):
+    path, source = f"{tmp_path}/months", ledger(spark, SF_SMALL)
+    undated = source.limit(1).withColumn("date", F.lit(None).cast("date"))
+    files.write_by_month(source.unionByName(undated), path)
+    assert (tmp_path / "months" / "ledger_month=none").is_dir()
+    first, last = date(1995, 2, 10), date(1995, 5, 9)
+    got = files.read_days(spark, path, first, last)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, source.where(F.col("date").between(first, last)).collect()))
+    assert got.columns == source.columns
+    plan = plan_text(got)
+    assert "PartitionFilters: [isnotnull(ledger_month" in plan and "(ledger_month#" in plan
+    assert len({r.f.split("ledger_month=")[1][:7] for r in got.select(F.input_file_name().alias("f")).collect()}) == 4
+    files.write_by_month(source.where(F.col("date") < "1995-03-01"), path)  # replaces its months, leaves the others
+    assert spark.read.parquet(path).count() == source.count() + 1
+
+
+def plan_text(df):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()

@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.functions.numeric import parse_day, parse_number
+from tallyloom.functions.numeric import DAY_LAYOUTS, parse_day, parse_layout, parse_number
 from tallyloom.operators import quality
 from tallyloom.sources.ledger import dirty_ledger
+from tallyloom.sources.schema import day_layout
 from tests.conftest import SF_SMALL
 
 
@@ -109,3 +110,27 @@ def test_number_and_date_text(spark):
     df = spark.createDataFrame([(k,) for k in days], "t string")
     got = df.select("t", parse_day(F.col("t"), df.schema["t"].dataType).cast("string").alias("d")).collect()
     assert {r.t: r.d for r in got} == days
+
+
+@pytest.mark.parametrize("cells, layout, days", [
+    (["2025-10-01 08:30", "2025-10-2T00:00:00Z", "2025-10-03T23:59:59.25+14:00", "04-Oct-2025"], "yyyy-M-d", "1 2 3 -"),
+    (["13/10/2025", "14/10/2025", "10/13/2025"], "d/M/yyyy", "13 14 -"),
+    (["10/1/2025 8:30 AM", "10/13/2025", "13/10/2025"], "M/d/yyyy", "1 13 -"),
+    (["1/10/2025", None, ""], "M/d/yyyy", "10 - -"),
+    (["01-Oct-2025", " 2-oct-2025 ", "2025-10-03"], "d-MMM-yyyy", "1 2 -"),
+    (["October 1, 2025", "May 2, 2025"], "MMMM d, yyyy", "1 2"),
+    (["20251001", "20251302", "20251003 25:00"], "yyyyMMdd", "1 - -"),
+    (["31.12.2025", "31.2.2025"], "d.M.yyyy", "31 -"),
+    (["x", None], None, "- -"),
+])
+def test_dates_follow_the_layout_of_most_cells(spark, text_ledger, cells, layout, days):
+    df = text_ledger(*[{"date": c} for c in cells])
+    assert day_layout(df) == layout
+    read = df.select(F.day(parse_layout(F.col("date"), layout or DAY_LAYOUTS[0])).alias("d")).collect()
+    assert " ".join("-" if r.d is None else str(r.d) for r in read) == days
+
+
+def test_cells_in_another_layout_are_invalid_dates(text_ledger):
+    mixed = text_ledger({"date": "13/10/2025"}, {"date": "14/10/2025 10:00"}, {"date": "2025-10-15"})
+    assert report(mixed).errors[0] == "Found 1 rows with invalid dates."
+    assert report(text_ledger({"date": "1-Oct-2025"}, {"date": "02-Oct-2025"})).is_valid
