@@ -52,9 +52,16 @@ def parse_day(column: Column, data_type: T.DataType, formats: Iterable[str] = DA
     return F.coalesce(*[F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in formats])
 
 
+def without_clock(column: Column) -> Column:
+    return F.regexp_replace(F.trim(column), CLOCK_PATTERN, "")
+
+
 def parse_layout(column: Column, layout: str) -> Column:
     """Calendar day as written, from text in one of DAY_LAYOUTS and perhaps a time of day; anything else becomes NULL."""
-    day = F.regexp_replace(F.trim(column), CLOCK_PATTERN, "")
+    return parse_written_day(without_clock(column), layout)
+
+
+def parse_written_day(day: Column, layout: str) -> Column:
     return F.when(day.rlike(_shape(layout)), F.to_date(F.try_to_timestamp(day, F.lit(layout))))
 
 

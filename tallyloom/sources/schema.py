@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.functions.numeric import DAY_LAYOUTS, parse_day, parse_layout, parse_number
+from tallyloom.functions.numeric import (
+    DAY_LAYOUTS,
+    parse_day,
+    parse_layout,
+    parse_number,
+    parse_written_day,
+    without_clock,
+)
 
 # The columns a ledger must have, in this order.
 REQUIRED_COLUMNS = (
@@ -57,12 +64,14 @@ def require_columns(df: DataFrame, purpose: str, required: Iterable[str] = REQUI
 def day_layout(df: DataFrame, column: str = "date") -> str | None:
     """The layout of DAY_LAYOUTS that most cells of a text column follow, the first of them where several fit as many.
 
-    One pass over that column alone, without a shuffle of rows; one row of counts reaches the driver. None if the column
-    isn't text or no cell fits any layout.
+    One pass over that column alone. Cells are counted by their day, combined before the shuffle, so that layouts are tried
+    on distinct days only; one row of counts reaches the driver. None if the column isn't text or no cell fits any layout.
     """
     if not isinstance(df.schema[column].dataType, T.StringType):
         return None
-    counts = df.agg(*[F.count(parse_layout(F.col(column), f)).alias(f"fits{i}") for i, f in enumerate(DAY_LAYOUTS)]).first()
+    days = df.groupBy(without_clock(F.col(column)).alias("day")).agg(F.count("*").alias("cells"))
+    fits = [F.when(parse_written_day(F.col("day"), f).isNotNull(), F.col("cells")).otherwise(0) for f in DAY_LAYOUTS]
+    counts = days.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"fits{i}") for i, c in enumerate(fits)]).first()
     most = max(counts)
     return DAY_LAYOUTS[counts.index(most)] if most else None
 
