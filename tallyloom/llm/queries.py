@@ -111,11 +111,20 @@ WITH RECURSIVE rules(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('al
 p AS (
   SELECT page_id, coalesce(url, '') AS url, html FROM pages),
 tags AS (
-  SELECT url,
-    regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS canonical,
-    regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) AS refresh
-  FROM p WHERE regexp_matches(html, '(?i)canonical|refresh')),
-targets AS (SELECT url, canonical AS target FROM tags UNION ALL SELECT url, refresh FROM tags),
+  SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM p WHERE regexp_matches(html, '(?i)canonical|refresh')),
+quoted AS (
+  SELECT url, lower(tag[2:5]) AS kind, [trim(trim(regexp_extract(tag, '(?i)[\s"''/]' || name || '\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), chr(34) || chr(39)), chr(9) || chr(10) || chr(12) || chr(13) || ' ')
+    FOR name IN ['rel', 'href', 'http-equiv', 'content']] AS found
+  FROM tags),
+attributes AS (
+  SELECT url, kind, list_transform(found, lambda x: replace(replace(replace(replace(replace(replace(replace(
+    x, '&quot;', '"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&#38;', '&'), '&#x26;', '&'), '&amp;', '&')) AS found
+  FROM quoted),
+targets AS (
+  SELECT url, found[2] AS target FROM attributes WHERE kind = 'link' AND list_contains(regexp_split_to_array(lower(found[1]), '\s+'), 'canonical')
+  UNION ALL
+  SELECT url, trim(ltrim(regexp_extract(found[4], '(?is)^[\d.\s]*[;,]?\s*url\s*=\s*("[^"]*|''[^'']*|[^"''\s].*)', 1), chr(34) || chr(39))) FROM attributes
+  WHERE kind = 'meta' AND lower(found[3]) = 'refresh'),
 resolved AS (
   SELECT url, CASE
     WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target

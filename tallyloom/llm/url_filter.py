@@ -26,10 +26,12 @@ RULES = (
 MAX_RULES = 20_000  # rules travel inside the plan
 
 ADDRESS = r"(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)"
-CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH_URL = r"""(?i)\burl\s*=\s*["']?([^"'\s>;]+)"""
+LINK, META = r"(?i)<link\b[^>]*>", r"(?i)<meta\b[^>]*>"
+# After the seconds of a refresh; an unquoted address runs to the end.
+REFRESH_URL = r"""(?is)^[\d.\s]*[;,]?\s*url\s*=\s*(?:"([^"]*)|'([^']*)|([^"'\s].*))"""
+# Character references that addresses hold; the ampersand's come last.
+REFERENCES = (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+
 
 
 def host_of(url: Column) -> Column:
@@ -84,15 +86,34 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return F.when(longest.isNotNull(), F.struct(longest["rule"].alias("rule"), longest["verdict"].alias("verdict")))
 
 
+def _one_of(text: Column, pattern: str) -> Column:
+    """What the one of three groups that took part holds; empty without a match."""
+    return F.concat(*[F.regexp_extract(text, pattern, n) for n in (1, 2, 3)])
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, character references resolved, without blanks around it; empty if it has none."""
+    value = _one_of(tag, rf"""(?i)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+    for reference, character in REFERENCES:
+        value = F.replace(value, F.lit(reference), F.lit(character))
+    return F.btrim(value, F.lit(" \t\n\f\r"))
+
+
+def link_targets(html: Column) -> Column:
+    """What all canonical links and refreshes of a page name, as written; null for null. `canonical` may be one of several
+    words of rel.
+    """
+    tags = lambda pattern: F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
+    canonical = F.filter(tags(LINK), lambda t: attribute(t, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)"))
+    refresh = F.filter(tags(META), lambda t: F.lower(attribute(t, "http-equiv")) == "refresh")
+    address = lambda t: F.btrim(_one_of(attribute(t, "content"), REFRESH_URL), F.lit(" \t\n\f\r"))
+    return F.concat(F.transform(canonical, lambda t: attribute(t, "href")), F.transform(refresh, address))
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): keys of a page's address and of the address its redirect or canonical link names."""
-    tag = lambda pattern: F.regexp_extract(F.col("html"), pattern, 0)
-    targets = F.array(
-        F.regexp_extract(tag(CANONICAL), HREF, 1),
-        F.regexp_extract(tag(REFRESH), REFRESH_URL, 1),
-    )
+    """(a, b): keys of a page's address and of each address that its redirects and canonical links name."""
     hint = F.col("html").rlike("(?i)canonical|refresh")
-    found = pages.where(hint & F.col("url").isNotNull()).select("url", F.explode(targets).alias("target"))
+    found = pages.where(hint & F.col("url").isNotNull()).select("url", F.explode(link_targets(F.col("html"))).alias("target"))
     return found.select(key_of(F.col("url")).alias("a"), key_of(resolved(F.col("target"), F.col("url"))).alias("b")).where(
         "a is not null and b is not null"
     )

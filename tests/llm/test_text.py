@@ -1,6 +1,7 @@
 from collections import Counter
 from zlib import crc32
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -27,6 +28,15 @@ PAGES = [
     (13, "http://net", None, "allow"),  # no path: the rule's / doesn't fit
     (14, "http://b.net/x", None, "block"),
     (None, "http://b.net/x", None, "block"),
+    (15, "http://j.example.org/q", '<link rel="nofollow Canonical" href="http://b.net/x">', "block"),
+    (16, "http://k.example.org/q", CANONICAL.format("") + "<link rel=icon href=/i><link rel=canonical href=http://b.net/x>", "block"),
+    (17, "http://l.example.org/q", CANONICAL.format("http://m.example.org/?a=1&amp;b=2"), "block"),
+    (18, "http://m.example.org/?a=1&b=2", REFRESH.format(" http://b.net/x "), "block"),
+    (19, "http://n.example.org/q", """<META content="5;URL='http://o.example.org/a;b c'" http-equiv=Refresh>""", "block"),
+    (20, "http://o.example.org/a;b c", REFRESH.format("http://q.example.org/;x"), "block"),
+    (21, "http://p.example.org/q", '<link data-rel="canonical" href="http://b.net/x"><link rel="canonical-x" href="http://b.net/x">', "allow"),
+    (22, "http://q.example.org/;x", "<link rel='canonical' href='http://b.net/x'>" + REFRESH.format("http://j.example.org/q"), "block"),
+    (23, "http://r.example.org/q", "<link rel=canonical" + " x" * 500_000 + "<meta http-equiv=refresh content=5>", "allow"),
 ]
 
 
@@ -38,6 +48,10 @@ def test_urls_follow_rules_and_aliases(spark):
     assert (row[1].host, row[1].path, row[1].rule) == ("a.example.net", "/en/x", "example.net/en/")
     assert (row[2].rule, row[3].rule, row[11].host, row[12].path) == ("net/", None, "", "")
     assert url_filter.judge(frame.limit(0)).count() == 0
+    duck = duckdb.connect()
+    duck.register("pages", frame.toArrow())
+    by_sql = duck.execute(f"SELECT page_id, host, path, rule, verdict FROM ({queries.OP4_SQL})").fetchall()
+    assert sorted(map(repr, by_sql)) == sorted(repr(tuple(r)) for r in out)
 
 
 # Personal data ------------------------------------------------------------------------------------------------------
