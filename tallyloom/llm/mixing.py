@@ -151,16 +151,16 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEIL
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """docs' rows, each as often as the mix takes it; columns source and text are needed, all are kept.
 
-    The size of a row is its number of words (null text: 0). Rows equal in every column share what they take as evenly as
-    whole numbers allow. Texts are shuffled once, to the decision about them.
+    The size of a row is its number of words (null text: 0). Rows equal in every column are taken as often as all of them
+    together; they become one before the shuffle, so a row that repeats without end piles up nowhere. Texts are shuffled
+    once, to the decision about them.
     """
     names = docs.columns
     rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(names)], row_hash(docs, *names).alias("hash"))
     source, text = f"_{names.index('source')}", f"_{names.index('text')}"
     taken = mix(rows.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"), "hash"), **options)
-    taken = taken.groupBy("hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("repeats"))
-    placed = rows.join(taken, "hash").withColumn("place", F.row_number().over(W.partitionBy("hash").orderBy("hash")))
-    copies = F.floor(F.col("copies") / F.col("repeats")) + (F.col("place") <= F.col("copies") % F.col("repeats")).cast("long")
-    taken_rows = placed.withColumn("copies", copies).where("copies > 0")
-    repeated = taken_rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)])
+    taken = taken.groupBy("hash").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    one = rows.groupBy("hash").agg(F.first(F.struct(*[f"_{i}" for i in range(len(names))])).alias("whole"))
+    taken_rows = one.join(taken, "hash")
+    repeated = taken_rows.select("whole", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return repeated.select(*[F.col(f"whole._{i}").alias(c) for i, c in enumerate(names)])
