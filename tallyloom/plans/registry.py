@@ -147,8 +147,10 @@ def _ledger_between(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product performance over rollups that grew by three increments, of which one came twice."""
-    rows, folder = Source(spark, sf_dir).enriched, scratch_folder(spark, "increments")
+    """Product performance over rollups that grew by three increments, of which one came twice. Their rows are written once:
+    deriving the ledger for each rollup of each increment would scan the lines, and broadcast the parts, eight times.
+    """
+    rows, folder = settle(Source(spark, sf_dir).enriched, "enriched"), scratch_folder(spark, "increments")
     third = F.pmod(F.unix_date("date"), F.lit(3))
     for part in (0, 1, 2, 1):
         increments.add_increment(rows.where(third == part), folder, f"part{part}")

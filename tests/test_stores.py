@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import evaluation, forecast, kpi, questions
-from tallyloom.plans import analysis, increments
+from tallyloom.plans import analysis, increments, registry
 from tallyloom.sources.ledger import ledger
 from tests.conftest import SF_SMALL
 
@@ -55,6 +55,27 @@ def test_a_corrected_increment_replaces_its_first_version(spark, enriched, tmp_p
     assert same(increments.stored_rollups(spark, folder), kpi.roll_up(enriched))
 
 
+def test_stored_performance_derives_its_ledger_once(spark, tmp_path, monkeypatch):
+    """No increment reads order lines or broadcasts parts: what reaches the driver doesn't grow with their number."""
+    plans, written = [], []
+
+    def written_once(df, label):
+        written.append(label)
+        df.write.parquet(str(tmp_path / label))
+        return spark.read.parquet(str(tmp_path / label))
+
+    def noted(rows, folder, increment, add=increments.add_increment):
+        plans.append(plan_of(rows))
+        add(rows, folder, increment)
+
+    monkeypatch.setattr(registry, "settle", written_once)
+    monkeypatch.setattr(increments, "add_increment", noted)
+    made = registry.queries()["product_performance_stored"](spark, SF_SMALL)
+    assert rows_of(made) == rows_of(registry.queries()["product_performance"](spark, SF_SMALL))
+    assert written == ["enriched"] and len(plans) == 4
+    assert not any("lineitem.parquet" in p or "Broadcast" in p for p in plans)
+
+
 # ---------------------------------------------------------------- buckets
 
 
