@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 from hashlib import sha256
 from struct import pack
 
@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyloom.llm.common import slices, texts
+from tallyloom.llm.common import slices, texts, warm
 
 CACHE_CHUNKS = 500_000
-PAIRS = 250_000
+KNOWN_CHUNKS = 200_000
+PAIRS = 100_000
 SLICE_BYTES = 4 << 20
 NEVER = 1 << 40
 
@@ -69,7 +70,9 @@ class Splitter:
         spec = json.loads(text)
         if not cuts_at_space(spec):
             raise ValueError("the vocabulary must lower-case texts and split them by SPLIT_RULE")
-        self.library = Tokenizer.from_str(text)
+        # Its normaliser and splitter alone are used; an empty model spares a second copy of the vocabulary.
+        empty = {"added_tokens": [], "post_processor": None, "model": {"type": "BPE", "vocab": {}, "merges": []}}
+        self.library = Tokenizer.from_str(json.dumps(spec | empty))
         added = spec["added_tokens"]
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
             raise ValueError("added tokens must match plain text")
@@ -105,33 +108,34 @@ class Vocabulary(Splitter):
         model = json.loads(text)["model"]
         if model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("byte_fallback"):
             raise ValueError("a byte-level BPE model without prefixes or byte fallback is needed")
-        self.ids: dict[str, int] = model["vocab"]
+        ids: dict[str, int] = model["vocab"]
         self.end: str = model.get("end_of_word_suffix") or ""
         self.ranks: dict[tuple[int, int], int] = {}
-        parts: dict[int, tuple[int, int]] = {}
+        # By token: the two tokens that merge into it and the rank of that merge; NEVER for one that no merge makes.
+        parts = [array("i", bytes(4 * (max(ids.values()) + 1))) for _ in range(2)]
+        self.taken = array("q", [NEVER]) * len(parts[0])
         for rank, pair in enumerate(model["merges"]):
-            left, right = (self.ids[x] for x in (pair.split(" ") if isinstance(pair, str) else pair))
+            left, right = (ids[x] for x in (pair.split(" ") if isinstance(pair, str) else pair))
             self.ranks[left, right] = rank
-            parts[self.ids[self._joined(pair)]] = (left, right)
+            token = ids[self._joined(pair)]
+            parts[0][token], parts[1][token], self.taken[token] = left, right, rank
+        self.lefts, self.rights = parts
         # Every beginning of a token: its id if it is a token itself, else -1.
-        self.openings = {t[:n]: -1 for t in self.ids for n in range(1, len(t))} | self.ids
+        self.openings = {t[:n]: -1 for t in ids for n in range(1, len(t))} | ids
         self.apart: dict[int, bool] = {}
-        # The pieces at a token's right and left edge while it was built, each with the rank of the merge that took it.
-        self.right_edge = {t: tuple(self._edge(t, parts, 1)) for t in self.ids.values()}
-        self.left_edge = {t: tuple(self._edge(t, parts, 0)) for t in self.ids.values()}
 
     @staticmethod
     def _joined(pair) -> str:
         return pair.replace(" ", "") if isinstance(pair, str) else "".join(pair)
 
-    def _edge(self, token: int, parts: dict[int, tuple[int, int]], side: int) -> Iterator[tuple[int, int]]:
+    def _edge(self, token: int, parts: array) -> Iterator[tuple[int, int]]:
+        """The pieces at a token's edge while it was built, each with the rank of the merge that took it."""
         taken = NEVER
         while True:
             yield token, taken
-            if token not in parts:
+            if self.taken[token] == NEVER:
                 return
-            taken = self.ranks[parts[token]]
-            token = parts[token][side]
+            taken, token = self.taken[token], parts[token]
 
     def stay_apart(self, left: int, right: int) -> bool:
         """Whether encoding the text of both tokens gives these two: no pair of edge pieces merges while both exist."""
@@ -143,9 +147,9 @@ class Vocabulary(Splitter):
         return known
 
     def _stay_apart(self, left: int, right: int) -> bool:
-        ranks = self.ranks
-        for a, a_taken in self.right_edge[left]:
-            for b, b_taken in self.left_edge[right]:
+        ranks, left_edge = self.ranks, list(self._edge(right, self.lefts))
+        for a, a_taken in self._edge(left, self.rights):
+            for b, b_taken in left_edge:
                 rank = ranks.get((a, b))
                 if rank is not None and rank < a_taken and rank <= b_taken:
                     return False
@@ -266,15 +270,15 @@ class ChunkEncoder:
         return ids.take(pa.array(np.minimum(places, len(ids) - 1))) if len(ids) else ids
 
 
-@lru_cache(2)
+@warm
 def vocabulary(text: str) -> Vocabulary:
     return Vocabulary(text)
 
 
-@lru_cache(2)
+@warm
 def _encoder(text: str) -> ChunkEncoder:
     """One per Python worker and vocabulary: later tasks of the worker find the cache filled."""
-    return ChunkEncoder(vocabulary(text), vocabulary(text).word_ids)
+    return ChunkEncoder(vocabulary(text), vocabulary(text).word_ids, KNOWN_CHUNKS)
 
 
 def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
@@ -334,7 +338,7 @@ def read_vocabulary(path: str) -> str:
         return file.read()
 
 
-@lru_cache(2)
+@warm
 def _tokens(text: str) -> pa.Array:
     """Tokens by id; null where there is none."""
     spec = json.loads(text)

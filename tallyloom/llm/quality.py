@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import WordCache, bucket, shape, sigmoid, slices, texts
+from tallyloom.llm.common import WordCache, bucket, cool, shape, sigmoid, slices, texts
 from tallyloom.llm.samples import choose, features_of, minimise
 
 DIMS = 4096
@@ -25,6 +25,7 @@ PER_GRADE = 1500  # at most so many rated documents of each grade are fitted on
 GRADES = 3
 SEED = 11
 REPEAT = DIMS
+CACHE_WORDS = 100_000
 DAMPING = 8  # words of no weight that every text has: a few odd words don't decide a short text
 
 
@@ -119,8 +120,9 @@ def rate(docs: DataFrame, model: Model, select_grade: int = 1, at_least: float =
     schema, at = docs.select("*", *added).schema, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cool()
         weights = model.weights.tolist()
-        cache = WordCache(lambda word: sum(weights[c] for c in columns(word)))
+        cache = WordCache(lambda word: sum(weights[c] for c in columns(word)), CACHE_WORDS)
         for batch in slices(batches):
             scores, some = [], []
             for text in texts(batch.column(at)):

@@ -1,11 +1,13 @@
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 import corpus_pipeline
-from tallyloom.llm import mixing, pii, queries, simhash
+from tallyloom.llm import bpe, mixing, pii, quality, queries, simhash
 from tallyloom.llm.common import settle
 from tests.conftest import SF_SMALL
 
@@ -89,6 +91,26 @@ def test_empty_and_odd_documents_pass_through(spark):
         docs.collect()
 
 
+def test_a_worker_drops_one_stages_tables_before_it_fills_anothers(spark, monkeypatch):
+    docs = queries.table(spark, SF_SMALL, "documents")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, schema: run)
+    rate = quality.rate(docs, quality.Model(np.zeros(quality.DIMS + 1), np.zeros(2)))
+    text = bpe.read_vocabulary(queries.TOKENIZER)
+    assert bpe._encoder(text) is bpe._encoder(text)
+    assert list(rate(iter([]))) == []
+    assert [kept.cache_info().currsize for kept in (bpe.vocabulary, bpe._encoder, bpe._tokens)] == [0, 0, 0]
+
+
+def test_a_vocabulary_is_held_once():
+    text = bpe.read_vocabulary(queries.TOKENIZER)
+    tracemalloc.start()
+    vocabulary = bpe.Vocabulary(text)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 40 << 20
+    assert vocabulary.library.get_vocab_size() == 0
+
+
 def test_queries_are_registered():
     names = [n for n in entry_point.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
